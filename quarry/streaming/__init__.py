@@ -1,0 +1,5 @@
+"""Structured Streaming operators.
+
+Empty on purpose: the capability source this project follows defines no
+streaming query, so there is nothing here to match.  See README.md.
+"""
