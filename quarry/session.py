@@ -53,8 +53,13 @@ def local_session(
     )
     log_dir = event_log_dir or os.environ.get("QUARRY_EVENT_LOG_DIR")
     if log_dir:
-        builder = builder.config("spark.eventLog.enabled", "true").config(
-            "spark.eventLog.dir", log_dir
+        if "://" not in log_dir:
+            os.makedirs(log_dir, exist_ok=True)
+        builder = (
+            builder.config("spark.eventLog.enabled", "true")
+            .config("spark.eventLog.dir", log_dir)
+            # Plain JSON lines, readable without a codec.
+            .config("spark.eventLog.compress", "false")
         )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
