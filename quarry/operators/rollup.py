@@ -31,33 +31,57 @@ Why this shape at scale:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KINDS = ("count", "sum")
+from quarry.functions.exact import combine_split_sums, split_for_sum
+
+_KINDS = ("count", "sum", "exact_sum")
 
 
 @dataclass(frozen=True)
 class Measure:
-    """One output column: ``count`` of fact rows, or ``sum`` of ``expr``.
+    """One output column.
+
+    * ``count``: number of fact rows (``bigint``).
+    * ``sum``: ``sum(expr)`` with Spark's own result type.
+    * ``exact_sum``: exact sum of a ``bigint`` ``expr``, as ``decimal(38,0)``;
+      carried through both aggregation levels as two ``bigint`` parts (see
+      ``quarry.functions.exact``), so the hash aggregates stay on fixed-width
+      values.
 
-    ``cast`` optionally converts the final value (e.g. an exact decimal sum
-    to ``double``) after all adding is done.
+    ``finish`` optionally converts the total (e.g. to ``double``) once all
+    adding is done.
     """
 
     name: str
     kind: str
     expr: Column | None = None
-    cast: str | None = None
+    finish: Callable[[Column], Column] | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in _KINDS:
             raise ValueError(f"measure kind must be one of {_KINDS}, got {self.kind!r}")
-        if self.kind == "sum" and self.expr is None:
-            raise ValueError(f"sum measure {self.name!r} needs an expression")
+        if self.kind != "count" and self.expr is None:
+            raise ValueError(f"{self.kind} measure {self.name!r} needs an expression")
+
+    def parts(self) -> list[Column]:
+        """Per-row values whose per-key sums are the partials."""
+        if self.kind == "count":
+            return [F.lit(1)]
+        if self.kind == "sum":
+            return [self.expr]
+        return list(split_for_sum(self.expr))
+
+    def total(self, part_totals: list[Column]) -> Column:
+        if self.kind == "exact_sum":
+            value = combine_split_sums(*part_totals)
+        else:
+            (value,) = part_totals
+        return self.finish(value) if self.finish is not None else value
 
 
 def rollup_through_key(
@@ -75,25 +99,28 @@ def rollup_through_key(
     if missing:
         raise ValueError(f"group columns {missing} are not columns of the keyed table")
 
-    part = {m.name: f"__part_{i}" for i, m in enumerate(measures)}
+    names = []  # per measure, the names of its partial columns
+    partials = []
+    for i, m in enumerate(measures):
+        cols = []
+        for j, expr in enumerate(m.parts()):
+            name = f"__part_{i}_{j}"
+            agg = F.count(F.lit(1)) if m.kind == "count" else F.sum(expr)
+            partials.append(agg.alias(name))
+            cols.append(name)
+        names.append(cols)
 
     # Per-key partials.  Spark plans this as partial (map-side) + final hash
     # aggregate around one exchange on the key.
-    per_key = fact.groupBy(F.col(fact_key).alias("__key")).agg(
-        *[
-            (F.count(F.lit(1)) if m.kind == "count" else F.sum(m.expr)).alias(part[m.name])
-            for m in measures
-        ]
-    )
+    per_key = fact.groupBy(F.col(fact_key).alias("__key")).agg(*partials)
 
     side = keyed.select(F.col(keyed_key).alias("__keyed_key"), *group_cols)
     joined = per_key.join(side, per_key["__key"] == side["__keyed_key"], "inner")
 
-    # A count becomes a sum of per-key counts; sums add up exactly.
-    outputs = []
-    for m in measures:
-        total = F.sum(part[m.name])
-        if m.cast is not None:
-            total = total.cast(m.cast)
-        outputs.append(total.alias(m.name))
-    return joined.groupBy(*group_cols).agg(*outputs)
+    # A count becomes a sum of per-key counts; sums of parts add up exactly.
+    totals = [F.sum(c).alias(c) for cols in names for c in cols]
+    rolled = joined.groupBy(*group_cols).agg(*totals)
+    return rolled.select(
+        *group_cols,
+        *[m.total([F.col(c) for c in cols]).alias(m.name) for m, cols in zip(measures, names)],
+    )

@@ -27,7 +27,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import net_price, ntz_literal
+from quarry.functions import net_price_units, ntz_literal, units_to_double
 from quarry.operators import Measure, rollup_through_key
 from quarry.sources import read_table
 
@@ -52,8 +52,13 @@ def revenue_by_priority(
         group_cols=["o_orderpriority"],
         measures=[
             Measure("n_lines", "count"),
-            # Exact decimal sum, converted to double once at the end.
-            Measure("revenue", "sum", net_price("l_extendedprice", "l_discount"), cast="double"),
+            # Exact integer units of 1e-4, converted to double once at the end.
+            Measure(
+                "revenue",
+                "exact_sum",
+                net_price_units("l_extendedprice", "l_discount"),
+                finish=units_to_double,
+            ),
         ],
     )
 
