@@ -114,13 +114,13 @@ def rollup_through_key(
     # aggregate around one exchange on the key.
     per_key = fact.groupBy(F.col(fact_key).alias("__key")).agg(*partials)
 
-    side = keyed.select(F.col(keyed_key).alias("__keyed_key"), *group_cols)
-    joined = per_key.join(side, per_key["__key"] == side["__keyed_key"], "inner")
+    # Only the key and group columns of ``keyed`` survive column pruning.
+    joined = per_key.join(keyed, per_key["__key"] == keyed[keyed_key], "inner")
 
     # A count becomes a sum of per-key counts; sums of parts add up exactly.
-    totals = [F.sum(c).alias(c) for cols in names for c in cols]
-    rolled = joined.groupBy(*group_cols).agg(*totals)
-    return rolled.select(
-        *group_cols,
-        *[m.total([F.col(c) for c in cols]).alias(m.name) for m, cols in zip(measures, names)],
+    return joined.groupBy(*group_cols).agg(
+        *[
+            m.total([F.sum(c) for c in cols]).alias(m.name)
+            for m, cols in zip(measures, names)
+        ]
     )

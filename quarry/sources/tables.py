@@ -47,14 +47,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def _columns(ddl: str) -> dict[str, str]:
+    """``{"a": "BIGINT", ...}`` from a flat ``"a BIGINT, b STRING"`` schema."""
+    out = {}
+    for field in ddl.split(", "):
+        name, _, dtype = field.partition(" ")
+        out[name] = dtype
+    return out
+
+
 def read_table(
     spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Scan one table, keeping only ``columns`` when given."""
-    df = spark.read.schema(SCHEMAS[name]).parquet(table_path(sf_dir, name))
+    """Scan one table, keeping only ``columns`` when given.
+
+    The kept columns form the read schema itself, so the Parquet reader reads
+    just those and no extra projection is planned.
+    """
+    if name not in SCHEMAS:
+        raise ValueError(f"unknown table {name!r}; expected one of {TABLES}")
+    ddl = SCHEMAS[name]
     if columns is not None:
-        missing = [c for c in columns if c not in df.columns]
+        known = _columns(ddl)
+        missing = [c for c in columns if c not in known]
         if missing:
             raise ValueError(f"{name} has no column(s) {missing}")
-        df = df.select(*columns)
-    return df
+        ddl = ", ".join(f"{c} {known[c]}" for c in columns)
+    return spark.read.schema(ddl).parquet(table_path(sf_dir, name))
