@@ -8,7 +8,7 @@
 
 but aggregates the fact rows per join key *before* the join (eager
 aggregation), then joins the per-key partials and rolls them up to
-``group_cols``.  This is exact for count and sum, whether or not the keyed
+``group_cols``.  This is exact for counts and sums, whether or not the keyed
 table's key is unique: every fact row still meets every matching keyed row.
 
 Why this shape at scale:
@@ -68,15 +68,16 @@ class Measure:
         if self.kind != "count" and self.expr is None:
             raise ValueError(f"{self.kind} measure {self.name!r} needs an expression")
 
-    def parts(self) -> list[Column]:
-        """Per-row values whose per-key sums are the partials."""
+    def per_key(self) -> list[Column]:
+        """Aggregates over fact rows whose per-key results are the partials."""
         if self.kind == "count":
-            return [F.lit(1)]
+            return [F.count(F.lit(1))]
         if self.kind == "sum":
-            return [self.expr]
-        return list(split_for_sum(self.expr))
+            return [F.sum(self.expr)]
+        return [F.sum(part) for part in split_for_sum(self.expr)]
 
     def total(self, part_totals: list[Column]) -> Column:
+        """The output value from the group totals of the partials."""
         if self.kind == "exact_sum":
             value = combine_split_sums(*part_totals)
         else:
@@ -103,11 +104,9 @@ def rollup_through_key(
     partials = []
     for i, m in enumerate(measures):
         cols = []
-        for j, expr in enumerate(m.parts()):
-            name = f"__part_{i}_{j}"
-            agg = F.count(F.lit(1)) if m.kind == "count" else F.sum(expr)
-            partials.append(agg.alias(name))
-            cols.append(name)
+        for j, agg in enumerate(m.per_key()):
+            cols.append(f"__part_{i}_{j}")
+            partials.append(agg.alias(cols[-1]))
         names.append(cols)
 
     # Per-key partials.  Spark plans this as partial (map-side) + final hash
@@ -117,7 +116,7 @@ def rollup_through_key(
     # Only the key and group columns of ``keyed`` survive column pruning.
     joined = per_key.join(keyed, per_key["__key"] == keyed[keyed_key], "inner")
 
-    # A count becomes a sum of per-key counts; sums of parts add up exactly.
+    # Per-key counts and sums add up to group counts and sums.
     return joined.groupBy(*group_cols).agg(
         *[
             m.total([F.sum(c) for c in cols]).alias(m.name)

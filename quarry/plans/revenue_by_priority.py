@@ -11,7 +11,7 @@ Plan (``explain("formatted")``):
       -> partial hash aggregate per l_orderkey -> exchange(l_orderkey)
       -> final hash aggregate per l_orderkey
     orders scan    ReadSchema = o_orderkey, o_orderpriority
-      -> exchange(o_orderkey)            (or a runtime broadcast, see below)
+      -> exchange(o_orderkey)   (or a broadcast, if adaptive execution measures it small)
     sort-merge join on the order key
       -> partial hash aggregate per priority -> exchange -> final aggregate
 
