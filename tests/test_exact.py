@@ -1,0 +1,72 @@
+"""Exact sums and money conversions against Python's arbitrary-precision math."""
+
+import random
+from decimal import Decimal
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quarry.functions import (
+    cents,
+    combine_split_sums,
+    net_price_units,
+    split_for_sum,
+    units_to_double,
+)
+
+INT64 = st.integers(min_value=-(2**63), max_value=2**63 - 1)
+
+
+def split_sum(spark, groups):
+    """{group: exact total} computed by Spark from split bigint sums."""
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g int, v bigint")
+    hi, lo = split_for_sum(F.col("v"))
+    out = df.groupBy("g").agg(combine_split_sums(F.sum(hi), F.sum(lo)).alias("t"))
+    return {r.g: int(r.t) for r in out.collect()}
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(INT64, min_size=1, max_size=40))
+def test_split_sum_is_exact_over_the_whole_bigint_range(spark, values):
+    # Python adds without overflow; so must the split sum, even where a plain
+    # bigint sum of these values would overflow.
+    assert split_sum(spark, {0: values}) == {0: sum(values)}
+
+
+def test_split_sum_many_groups(spark):
+    rng = random.Random(11)
+    groups = {
+        g: [rng.randint(-(10**15), 10**15) for _ in range(rng.randint(1, 60))] for g in range(300)
+    }
+    groups[300] = [2**63 - 1] * 1000  # a plain bigint sum overflows here
+    assert split_sum(spark, groups) == {g: sum(v) for g, v in groups.items()}
+
+
+def test_units_to_double_is_correctly_rounded(spark):
+    rng = random.Random(5)
+    totals = (
+        [rng.randint(-(10**15), 10**15) for _ in range(2000)]
+        + [rng.randint(0, 10**22) for _ in range(2000)]
+        + [rng.randint(0, 10**30) for _ in range(500)]
+    )
+    df = spark.createDataFrame([(str(t),) for t in totals], "s string")
+    got = [r.d for r in df.select(units_to_double(F.col("s").cast("decimal(38,0)")).alias("d")).collect()]
+    assert got == [float(Decimal(t) / Decimal(10**4)) for t in totals]
+
+
+def test_whole_cents_are_exact(spark):
+    rng = random.Random(3)
+    ks = [rng.randint(-(10**12), 10**12) for _ in range(3000)] + [0, 1, -1, 10**12]
+    df = spark.createDataFrame([(k / 100,) for k in ks], "x double")
+    assert [r.c for r in df.select(cents("x").alias("c")).collect()] == ks
+
+
+def test_net_price_units_match_decimal_arithmetic(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randint(0, 10**9), rng.randint(0, 100)) for _ in range(3000)]
+    df = spark.createDataFrame([(p / 100, d / 100) for p, d in pairs], "p double, d double")
+    got = [r.u for r in df.select(net_price_units("p", "d").alias("u")).collect()]
+    want = [int(Decimal(p) / 100 * (1 - Decimal(d) / 100) * 10**4) for p, d in pairs]
+    assert got == want
