@@ -9,16 +9,12 @@ if REPO not in sys.path:
     sys.path.insert(0, REPO)
 
 from quarry.session import local_session  # noqa: E402
+from quarry.sources import TABLES  # noqa: E402
 
 TESTDATA = "/root/testdata"
 SF_SMOKE = f"{TESTDATA}/sf0.001"
 SF_CHECK = f"{TESTDATA}/sf0.01"
 
-ALL_TABLES = (
-    "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
-).split()
-
 
 @pytest.fixture(scope="session")
 def event_log_dir(tmp_path_factory):
@@ -39,7 +35,7 @@ def duck(sf_dir, overrides=None):
     """
     con = duckdb.connect()
     overrides = overrides or {}
-    for t in ALL_TABLES:
+    for t in TABLES:
         path = overrides.get(t, f"{sf_dir}/{t}.parquet")
         if os.path.isdir(path):
             path = f"{path}/*.parquet"
