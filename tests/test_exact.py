@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from quarry.functions import (
     split_for_sum,
     units_to_double,
 )
+from quarry.sources import read_table
+from tests.conftest import TESTDATA
 
 INT64 = st.integers(min_value=-(2**63), max_value=2**63 - 1)
 
@@ -70,3 +73,16 @@ def test_net_price_units_match_decimal_arithmetic(spark):
     got = [r.u for r in df.select(net_price_units("p", "d").alias("u")).collect()]
     want = [int(Decimal(p) / 100 * (1 - Decimal(d) / 100) * 10**4) for p, d in pairs]
     assert got == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_driver_money_columns_are_whole_cents(spark, sf):
+    # The integer-cents arithmetic equals the oracle's decimal(12,2) casts
+    # exactly when every amount is a whole number of cents.
+    li = read_table(spark, f"{TESTDATA}/{sf}", "lineitem", ["l_extendedprice", "l_discount"])
+    off = [
+        F.sum(F.when(F.abs(F.col(c) * 100 - F.rint(F.col(c) * 100)) > 1e-6, 1).otherwise(0)).alias(c)
+        for c in ("l_extendedprice", "l_discount")
+    ]
+    row = li.agg(*off).first()
+    assert (row.l_extendedprice, row.l_discount) == (0, 0)
