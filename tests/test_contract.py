@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from tests.conftest import SF_CHECK, SF_SMOKE, duck, rows
+from tests.conftest import SF_CHECK, SF_SMOKE, TESTDATA, duck, rows
 
 SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "int": "INTEGER"}
 
@@ -20,7 +20,7 @@ def test_every_query_has_an_oracle():
     assert set(contract.queries()) == set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("sf_dir", [SF_SMOKE, SF_CHECK])
+@pytest.mark.parametrize("sf_dir", [SF_SMOKE, SF_CHECK, f"{TESTDATA}/sf0.1"])
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_matches_oracle(spark, name, sf_dir):
     df = contract.queries()[name](spark, sf_dir)
@@ -31,4 +31,3 @@ def test_query_matches_oracle(spark, name, sf_dir):
     duck_schema = [(r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()]
     spark_schema = [(f.name, SPARK_TO_DUCK[f.dataType.simpleString()]) for f in df.schema]
     assert spark_schema == duck_schema
-
