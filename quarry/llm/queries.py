@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality
+from quarry.llm import packing, quality, sharding
 from quarry.llm.common import materialize, table
 
 
@@ -39,8 +39,36 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
+    """Law ``bytes``: the shards' sizes are near equal."""
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def ranks_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op8_best_fit_packing(
+    spark: SparkSession, sf_dir: str, ranks: str | None = None
+) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), ranks or ranks_file())
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sharding": op3_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
