@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality, sharding
+from quarry.llm import ann, mixing, packing, pages, quality, sharding
 from quarry.llm.common import materialize, table
 
 
@@ -53,6 +53,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFram
     )
 
 
+def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, F.col("vec_id") % 20 == 0, 20)
+
+
+# The mixture that the query and the pipeline aim at, in parts of bytes.
+MIX_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, mixing.REST: 0.60}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pages.main_text(table(spark, sf_dir, "pages"))
+    return text.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def ranks_file() -> str:
     import public_tokenizers
 
@@ -68,7 +86,12 @@ def op8_best_fit_packing(
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
+    "op7_approximate_nearest": op7_approximate_nearest,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_mixing": op9_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": mixing.mix_sql(MIX_WEIGHTS, columns="doc_id, text, lang, source, n_chars, "),
+}
