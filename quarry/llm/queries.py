@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, mixing, packing, pages, quality, sharding
+from quarry.llm import ann, fingerprints, mixing, packing, pages, quality, sharding
 from quarry.llm.common import materialize, table
 
 
@@ -27,6 +27,10 @@ def labelled(statistics: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     described = materialize(quality.add_statistics(docs).drop("text"))
@@ -84,6 +88,7 @@ def op8_best_fit_packing(
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op7_approximate_nearest": op7_approximate_nearest,
