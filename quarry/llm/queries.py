@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, fingerprints, mixing, packing, pages, quality, sharding
+from quarry.llm import ann, fingerprints, mixing, ngram_join, packing, pages, quality, sharding
 from quarry.llm.common import materialize, table
 
 
@@ -57,6 +57,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFram
     )
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, F.col("vec_id") % 20 == 0, 20)
@@ -91,6 +95,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_approximate_nearest": op7_approximate_nearest,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
