@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, fingerprints, mixing, ngram_join, packing, pages, quality, sharding
+from quarry.llm import (
+    ann,
+    fingerprints,
+    licenses,
+    mixing,
+    ngram_join,
+    packing,
+    pages,
+    pii,
+    quality,
+    sharding,
+)
 from quarry.llm.common import materialize, table
 
 
@@ -61,6 +72,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+# The key of the surrogates; a deployment sets its own.
+PII_KEY = "quarry"
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, F.col("vec_id") % 20 == 0, 20)
@@ -96,6 +119,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_license_scan": op6_license_scan,
     "op7_approximate_nearest": op7_approximate_nearest,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
