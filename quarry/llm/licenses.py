@@ -181,6 +181,9 @@ def notices(text: str) -> list[dict]:
             return
 
     for start, end in blocks(text):
+        # A notice's last words can follow its last cue, in a sentence of their own.
+        after = [m.end() for m, _ in zip(_WORD.finditer(text, end), range(GAP))]
+        end = after[-1] if after else end
         words = [(w, a + start, b + start) for w, a, b in words_of(text[start:end])]
         for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
             search(words[at : at + WINDOW])
