@@ -5,7 +5,7 @@ Layout:
     functions/  Column -> Column expression builders (JVM-side, codegen'd)
     operators/  join / aggregation building blocks with explicit scale policy
     plans/      queries composed from the pieces above
-    streaming/  Structured Streaming operators (none needed yet)
+    llm/        operators for training text; nothing else imports them
 """
 
 __version__ = "0.1.0"

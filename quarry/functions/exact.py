@@ -16,8 +16,8 @@ as ``bigint`` and recombined once, as ``decimal(38,0)``, on the final rows:
 * the high sum overflows only when the group's true total passes about
   ``2**(63 + LOW_BITS)`` (9.7e24).
 
-Under ANSI mode an overflow past those bounds raises; it is never a silently
-wrong number.
+Under ANSI mode an overflow past those bounds raises.  With ANSI mode off it
+would wrap, so ``quarry.operators.rollup`` refuses to plan there.
 """
 
 from __future__ import annotations

@@ -15,8 +15,12 @@ Why this shape at scale:
 
 * Skew.  If one join key holds a third of the fact rows, the partial
   aggregate collapses it to one row per map task before the shuffle, so no
-  reducer receives the hot key's rows.  The join after it is at most one
-  partial row per key per keyed row.
+  reducer receives the hot key's rows.
+* Skew on the other side.  Unless the caller declares the keyed table's key
+  unique, its rows are collapsed in the same way, to one row per key and group
+  with their number, and the partials are multiplied by it.  (Spark's own
+  splitting of skewed joins can't apply here: the fact side is an aggregate,
+  not a shuffle.)  The declaration changes the plan, never the result.
 * Volume.  The join and its sort see at most one row per distinct key instead
   of every fact row.
 * Shuffles.  The final per-key aggregate leaves its output hash-partitioned on
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exact import combine_split_sums, split_for_sum
 
-_KINDS = ("count", "sum", "exact_sum")
+_KINDS = ("count", "exact_sum")
 
 
 @dataclass(frozen=True)
@@ -47,7 +51,6 @@ class Measure:
     """One output column.
 
     * ``count``: number of fact rows (``bigint``).
-    * ``sum``: ``sum(expr)`` with Spark's own result type.
     * ``exact_sum``: exact sum of a ``bigint`` ``expr``, as ``decimal(38,0)``;
       carried through both aggregation levels as two ``bigint`` parts (see
       ``quarry.functions.exact``), so the hash aggregates stay on fixed-width
@@ -72,8 +75,6 @@ class Measure:
         """Aggregates over fact rows whose per-key results are the partials."""
         if self.kind == "count":
             return [F.count(F.lit(1))]
-        if self.kind == "sum":
-            return [F.sum(self.expr)]
         return [F.sum(part) for part in split_for_sum(self.expr)]
 
     def total(self, part_totals: list[Column]) -> Column:
@@ -92,10 +93,20 @@ def rollup_through_key(
     keyed_key: str,
     group_cols: Sequence[str],
     measures: Sequence[Measure],
+    keyed_unique: bool = False,
 ) -> DataFrame:
-    """Group ``fact`` joined to ``keyed`` by ``group_cols`` (columns of ``keyed``)."""
+    """Group ``fact`` joined to ``keyed`` by ``group_cols`` (columns of ``keyed``).
+
+    Raises, before any job runs, if a sum could overflow unnoticed because the
+    session has ANSI mode off.
+    """
     if not measures:
         raise ValueError("at least one measure is required")
+    if not group_cols:
+        raise ValueError("at least one group column is required")
+    ansi = fact.sparkSession.conf.get("spark.sql.ansi.enabled")
+    if ansi.lower() != "true":
+        raise ValueError("exact sums need spark.sql.ansi.enabled = true, or overflow is silent")
     missing = [c for c in group_cols if c not in keyed.columns]
     if missing:
         raise ValueError(f"group columns {missing} are not columns of the keyed table")
@@ -114,12 +125,20 @@ def rollup_through_key(
     per_key = fact.groupBy(F.col(fact_key).alias("__key")).agg(*partials)
 
     # Only the key and group columns of ``keyed`` survive column pruning.
-    joined = per_key.join(keyed, per_key["__key"] == keyed[keyed_key], "inner")
+    kept = [F.col(keyed_key).alias("__keyed"), *[F.col(c) for c in group_cols]]
+    if keyed_unique:
+        keyed, times = keyed.select(*kept), lambda c: F.col(c)
+    else:
+        keyed = (
+            keyed.select(*kept).groupBy("__keyed", *group_cols).agg(F.count(F.lit(1)).alias("__rows"))
+        )
+        times = lambda c: F.col(c) * F.col("__rows")
+    joined = per_key.join(keyed, per_key["__key"] == keyed["__keyed"], "inner")
 
     # Per-key counts and sums add up to group counts and sums.
     return joined.groupBy(*group_cols).agg(
         *[
-            m.total([F.sum(c) for c in cols]).alias(m.name)
+            m.total([F.sum(times(c)) for c in cols]).alias(m.name)
             for m, cols in zip(measures, names)
         ]
     )

@@ -50,6 +50,7 @@ def revenue_by_priority(
         keyed=orders,
         keyed_key="o_orderkey",
         group_cols=["o_orderpriority"],
+        keyed_unique=True,
         measures=[
             Measure("n_lines", "count"),
             # Exact integer units of 1e-4, converted to double once at the end.

@@ -5,8 +5,7 @@ change session settings behind the caller's back.  The settings here are the
 ones the plans are designed around, so local runs exercise the same plan
 shapes a cluster would:
 
-* adaptive execution on (runtime re-planning, partition coalescing,
-  skew-join splitting);
+* adaptive execution on (runtime re-planning, partition coalescing);
 * no broadcast from static size *estimates* (a file-size estimate is not a
   bound: Parquet is compressed and filters are guessed); adaptive execution
   still turns a join into a broadcast when the *measured* shuffle output of a

@@ -1,10 +1,10 @@
 """Reading the driver's Parquet tables.
 
 Each table is one Parquet dataset under ``<sf_dir>/<name>.parquet``.  Reads
-pass the table's schema explicitly, so Spark does not open Parquet footers on
-the driver to infer it, and select only the requested columns, so the scan's
-``ReadSchema`` is pruned and a later ``where`` on a plain column is pushed
-into the Parquet reader by Catalyst.
+compare the files' schema (one footer, whatever the table's size) with the
+declared one, since Parquet reads a missing column as nulls, and select only
+the requested columns, so the scan's ``ReadSchema`` is pruned and a later
+``where`` on a plain column is pushed into the Parquet reader by Catalyst.
 """
 
 from __future__ import annotations
@@ -62,15 +62,25 @@ def read_table(
     """Scan one table, keeping only ``columns`` when given.
 
     The kept columns form the read schema itself, so the Parquet reader reads
-    just those and no extra projection is planned.
+    just those and no extra projection is planned.  Raises if the files lack one
+    of them or hold it as another type.
     """
     if name not in SCHEMAS:
         raise ValueError(f"unknown table {name!r}; expected one of {TABLES}")
     ddl = SCHEMAS[name]
+    known = _columns(ddl)
     if columns is not None:
-        known = _columns(ddl)
         missing = [c for c in columns if c not in known]
         if missing:
             raise ValueError(f"{name} has no column(s) {missing}")
         ddl = ", ".join(f"{c} {known[c]}" for c in columns)
-    return spark.read.schema(ddl).parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema.fields}
+    for c in columns if columns is not None else known:
+        want = known[c].lower()
+        want = "bigint" if want == "long" else want
+        if c not in found:
+            raise ValueError(f"{name} in {sf_dir} has no column {c}")
+        if found[c] != want:
+            raise ValueError(f"{name}.{c} in {sf_dir} is {found[c]}, not {want}")
+    return spark.read.schema(ddl).parquet(path)

@@ -6,12 +6,14 @@ import subprocess
 import sys
 import textwrap
 
+import __spark_entry__ as contract
 from quarry.sources import TABLES
 from tests.conftest import REPO, SF_CHECK, SF_SMOKE
 
 
 def test_bench_prints_one_json_line(tmp_path):
     env = {**os.environ, "BENCH_SF_DIR": SF_SMOKE, "BENCH_CPUS": "2", "BENCH_RUNS": "1"}
+    env["BENCH_QUERIES"] = ",".join(contract.core_queries())
     proc = subprocess.run(
         [sys.executable, os.path.join(REPO, "bench.py")],
         capture_output=True,
@@ -26,7 +28,7 @@ def test_bench_prints_one_json_line(tmp_path):
     out = json.loads(lines[0])
     assert {"metric", "value", "unit", "queries", "sf"} <= set(out)
     assert out["unit"] == "sec" and out["sf"] == 0.001
-    assert set(out["queries"]) == {"revenue_by_priority"}
+    assert set(out["queries"]) == set(contract.core_queries())
     assert out["value"] > 0
 
 
@@ -60,7 +62,7 @@ def test_entry_module_from_another_directory(tmp_path):
                     f"CREATE VIEW {{t}} AS SELECT * FROM read_parquet('{SF_CHECK}/{{t}}.parquet')"
                 )
             same = {{}}
-            for name, q in mod.queries().items():
+            for name, q in mod.core_queries().items():
                 got = sorted(tuple(r) for r in q(spark, {SF_CHECK!r}).collect())
                 same[name] = got == sorted(con.execute(mod.oracle_sql()[name]).fetchall())
             print(json.dumps({{"entry_rows": n_entry, "same": same}}))

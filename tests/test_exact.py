@@ -59,6 +59,21 @@ def test_units_to_double_is_correctly_rounded(spark):
     assert got == [float(Decimal(t) / Decimal(10**4)) for t in totals]
 
 
+@pytest.mark.parametrize("scale", range(4, 11))
+def test_units_to_double_at_any_scale(spark, scale):
+    totals = [123456789, -1, 0, 10**17 + 1, 7 * 10**29 + 3]
+    df = spark.createDataFrame([(str(t),) for t in totals], "s string")
+    col = units_to_double(F.col("s").cast("decimal(38,0)"), scale)
+    got = [r.d for r in df.select(col.alias("d")).collect()]
+    assert got == [float(Decimal(t).scaleb(-scale)) for t in totals]
+
+
+def test_units_to_double_rejects_other_scales():
+    for scale in (-1, 19):
+        with pytest.raises(ValueError):
+            units_to_double(F.lit(1), scale)
+
+
 def test_whole_cents_are_exact(spark):
     rng = random.Random(3)
     ks = [rng.randint(-(10**12), 10**12) for _ in range(3000)] + [0, 1, -1, 10**12]

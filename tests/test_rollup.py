@@ -12,7 +12,7 @@ from tests.conftest import SF_CHECK, rows
 def measures():
     return [
         Measure("n_lines", "count"),
-        Measure("qty", "sum", cents("l_quantity")),
+        Measure("qty", "exact_sum", cents("l_quantity"), finish=lambda t: t.cast("bigint")),
         Measure(
             "revenue",
             "exact_sum",
@@ -90,6 +90,7 @@ def test_empty_fact(lineitem, orders):
     [
         (dict(group_cols=["l_returnflag"]), "not columns of the keyed table"),
         (dict(measures=[]), "at least one measure"),
+        (dict(group_cols=[]), "at least one group column"),
     ],
 )
 def test_rejects_bad_arguments(lineitem, orders, kwargs, message):
@@ -110,4 +111,27 @@ def test_measure_validation(spark):
     with pytest.raises(ValueError):
         Measure("x", "avg", F.col("a"))
     with pytest.raises(ValueError):
-        Measure("x", "sum")
+        Measure("x", "sum", F.col("a"))
+    with pytest.raises(ValueError):
+        Measure("x", "exact_sum")
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_declared_uniqueness_never_changes_the_result(lineitem, orders, unique):
+    dup = orders.unionByName(orders.where(F.pmod("o_orderkey", F.lit(4)) == 0))
+    groups = ["o_orderpriority"]
+    got = rollup_through_key(
+        lineitem, "l_orderkey", dup, "o_orderkey", groups, measures(), keyed_unique=unique
+    )
+    assert rows(got) == rows(brute_force(lineitem, "l_orderkey", dup, "o_orderkey", groups))
+
+
+def test_ansi_off_is_refused(spark, lineitem, orders):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="ansi"):
+            rollup_through_key(
+                lineitem, "l_orderkey", orders, "o_orderkey", ["o_orderpriority"], measures()
+            )
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

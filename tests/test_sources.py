@@ -4,7 +4,7 @@ import pytest
 
 from quarry.sources import TABLES, read_table
 from quarry.sources.tables import SCHEMAS
-from tests.conftest import TESTDATA
+from tests.conftest import SF_SMOKE, TESTDATA
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
@@ -30,3 +30,21 @@ def test_unknown_names_are_rejected(spark):
     with pytest.raises(ValueError, match="unknown table"):
         read_table(spark, f"{TESTDATA}/sf0.001", "nope")
     assert set(SCHEMAS) == set(TABLES)
+
+
+def test_missing_column_raises(spark, tmp_path):
+    read_table(spark, SF_SMOKE, "lineitem").drop("l_extendedprice").write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    with pytest.raises(ValueError, match="lineitem .* no column l_extendedprice"):
+        read_table(spark, str(tmp_path), "lineitem", ["l_orderkey", "l_extendedprice"])
+    assert read_table(spark, str(tmp_path), "lineitem", ["l_orderkey"]).count() > 0
+
+
+def test_other_type_raises(spark, tmp_path):
+    li = read_table(spark, SF_SMOKE, "lineitem")
+    li.withColumn("l_discount", li.l_discount.cast("float")).write.parquet(
+        str(tmp_path / "lineitem.parquet")
+    )
+    with pytest.raises(ValueError, match="lineitem.l_discount .* is float, not double"):
+        read_table(spark, str(tmp_path), "lineitem")
