@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,10 +97,14 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     ]
 
 
-@lru_cache(maxsize=1)
+_MADE: list = []  # a task process makes its compressors once
+
+
 def _compressors():
     import zstandard
 
+    if _MADE:
+        return _MADE[0]
     out = []
     for name, marks, text in TEMPLATES:
         words = tuple(w for w, _, _ in words_of(text))
@@ -113,7 +116,8 @@ def _compressors():
         )
         out.append((name, marks, words, packed))
     plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
-    return plain, out
+    _MADE.append((plain, out))
+    return _MADE[0]
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
