@@ -135,7 +135,7 @@ def text_lines(page: str) -> tuple[list[str], list[int]]:
                 buffer.append(page[start + 9 : at - 3])
             continue
         name = name.lower()
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             if name == "br":
                 buffer.append(" ")
             else:
@@ -307,18 +307,19 @@ def main_text(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html"
 ) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages``."""
-    marked = materialize(shared_lines(pages, page_id, url, page))
     kind = pages.schema[page_id].dataType.simpleString()
+    pages = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page")
+    )
+    marked = materialize(shared_lines(pages, "page_id", "url", "page"))
     marked = marked.groupBy(F.col("page_id").alias("__id"), F.col("url").alias("__url")).agg(
         F.min("shared").alias("shared")
     )
     both = pages.join(
         marked,
-        F.col(page_id).eqNullSafe(F.col("__id")) & F.col(url).eqNullSafe(F.col("__url")),
+        F.col("page_id").eqNullSafe(F.col("__id")) & F.col("url").eqNullSafe(F.col("__url")),
         "left",
-    ).select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page"), "shared"
-    )
+    ).select("page_id", "url", "page", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
