@@ -79,7 +79,8 @@ TEMPLATES = (
 )
 
 CUE = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|public domain|warrant", re.I)
-LEAST_REDUCTION = 0.15
+# Bytes that a template must save for it to be aligned.
+LEAST_SAVED = 6
 TOLERANCE = 0.15
 WINDOW = 400
 GAP = 8
@@ -97,14 +98,10 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
     ]
 
 
-_MADE: list = []  # a task process makes its compressors once
-
-
-def _compressors():
+def compressors():
+    """One without a dictionary, and each template's with its licence, marks and words."""
     import zstandard
 
-    if _MADE:
-        return _MADE[0]
     out = []
     for name, marks, text in TEMPLATES:
         words = tuple(w for w, _, _ in words_of(text))
@@ -116,8 +113,7 @@ def _compressors():
         )
         out.append((name, marks, words, packed))
     plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
-    _MADE.append((plain, out))
-    return _MADE[0]
+    return plain, out
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -155,9 +151,9 @@ def differences(words: list[str], template: tuple[str, ...]) -> tuple[int, int,
     return first, last, missing, last - first - len(same)
 
 
-def notices(text: str) -> list[dict]:
-    """Confirmed notices of a text, in order of place."""
-    plain, templates = _compressors()
+def notices(text: str, made=None) -> list[dict]:
+    """Confirmed notices of a text, in order of place; ``made``: what ``compressors`` gives."""
+    plain, templates = made or compressors()
     out = []
 
     def search(words: list[tuple[str, int, int]]) -> None:
@@ -170,7 +166,7 @@ def notices(text: str) -> list[dict]:
             ((1 - len(t[3].compress(raw)) / alone, -i) for i, t in enumerate(templates)), reverse=True
         )
         for reduction, i in ranked:
-            if reduction < LEAST_REDUCTION and len(raw) < 400:
+            if reduction * alone < LEAST_SAVED:
                 return
             name, marks, template, _ = templates[-i]
             first, last, missing, added = differences(bare, template)
@@ -207,11 +203,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = compressors()
         for batch in batches:
             rows, found = [], []
             for i, value in enumerate(batch.column(1)):
                 whole = value.as_py() or ""
-                for n in notices(whole):
+                for n in notices(whole, made):
                     rows.append(i)
                     found.append(n | {"notice": whole[n["start"] : n["end"]]})
             if rows:
