@@ -1,0 +1,49 @@
+"""Small awkward tables that every operator is tried on."""
+
+import random
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = [a + b for a in ("lo", "mi", "ra", "te", "su", "vo") for b in ("na", "ri", "ket", "pol", "den")]
+
+
+def words(seed, count):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) for _ in range(count))
+
+
+def edited(text, places, seed=0):
+    rng = random.Random(seed)
+    parts = text.split(" ")
+    for i in rng.sample(range(len(parts)), places):
+        parts[i] = f"changed{seed}{i}"
+    return " ".join(parts)
+
+
+def rows():
+    """Null, empty, blank, short, very long, repeated and nearly repeated texts."""
+    base, long = words(1, 120), words(2, 30_000)
+    texts = [
+        base, base, edited(base, 1, 1), edited(base, 2, 2), edited(base, 40, 3), None, "", " \n\t ",
+        "one", "one two three", long, edited(long, 100, 4), words(5, 9), "é à ü 漢字 \U0001d4b3", base.upper(),
+        "same same same same same same", "same same same same same same",
+    ]
+    out = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    out.append((None, base, None, None, None))  # nulls in every other column
+    out.append((None, None, None, None, None))
+    out += [(100 + i, words(1000 + i, 40), "de", "src0", 0) for i in range(40)]
+    return out
+
+
+def table(spark, data=None):
+    return spark.createDataFrame(rows() if data is None else data, DOCS)
+
+
+def clashing(df):
+    """Extra columns with names that operators use inside or add."""
+    from pyspark.sql import functions as F
+
+    names = [
+        "score", "statistics", "label", "fold", "copy", "repeats", "n_entities", "shard", "slot", "size", "tokens",
+        "piece", "sequence_id", "offset", "part", "bucket", "extra", "k", "n", "rep", "t", "component",
+    ]
+    return df.withColumns({n: F.lit("clash") for n in names})

@@ -1,0 +1,388 @@
+"""Each operator on documents against brute force, on awkward tables."""
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import components, fingerprints, licenses, mixing, ngram_join, packing, pii, quality, sharding
+from quarry.llm.queries import ranks_file
+from tests.llm.cases import DOCS, clashing, edited, rows, table, words
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return clashing(table(spark)).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return clashing(spark.createDataFrame([], DOCS))
+
+
+def shingle_set(text, width, lower=False):
+    table = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)) if lower else bytes(range(256))
+    found = (text or "").encode().translate(table).split()
+    if not found:
+        return frozenset()
+    return frozenset(tuple(found[i : i + width]) for i in range(max(1, len(found) - width + 1)))
+
+
+# -- fingerprints ---------------------------------------------------------
+
+
+def test_fingerprints_of_edits(docs):
+    got = [r.asDict() for r in fingerprints.fingerprint_edits(docs).collect()]
+    order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert len(got) == len(order)
+    want = []
+    for i, r in enumerate(order):
+        text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        a, b, c = (shingle_set(t, 5) for t in (text, new, after))
+        like = lambda x, y: 1.0 if x == y else len(x & y) / len(x | y)
+        want.append((r[0], len(text), hashlib.sha256(new.encode()).hexdigest(), like(a, b), like(a, c)))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    got.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["edited_sha256"]))
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert (g["doc_id"], g["n_chars"], g["edited_sha256"]) == w[:3]
+        assert abs(g["near_edited"] - w[3]) < 0.2 and abs(g["near_next"] - w[4]) < 0.2
+    by_text = defaultdict(set)
+    text_of = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
+    for g in got:
+        if g["doc_id"] is not None:
+            by_text[text_of[g["doc_id"]]].add(g["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_fingerprints_of_one_row_and_none(spark, empty):
+    one = spark.createDataFrame([(7, "a b c d", None, None, None)], DOCS)
+    r = fingerprints.fingerprint_edits(one).collect()
+    assert [x.edited_sha256 for x in r] == [hashlib.sha256(b"a b a b"[:4] + b"a b").hexdigest()]
+    assert fingerprints.fingerprint_edits(empty).count() == 0
+
+
+def test_near_duplicates_by_bands(docs):
+    got = {r.doc_id: r.class_id for r in fingerprints.near_duplicates(docs).collect()}
+    assert got[0] == got[1] == got[2] == 0 and got[10] == got[11] == 10 and got[15] == got[16]
+    assert got[4] == 4 and 5 not in got and 6 not in got
+
+
+def test_signature_likeness_estimates_jaccard():
+    import pyarrow as pa
+
+    base = words(3, 4000)
+    for places in (10, 50, 200):
+        other = edited(base, places, places)
+        a, b = fingerprints.of_texts(pa.array([base, other]))
+        x, y = shingle_set(base, 5), shingle_set(other, 5)
+        assert abs((a == b).mean() - len(x & y) / len(x | y)) < 0.15
+
+
+# -- quality --------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    clean = [(i, words(i, 60) + ".", 1) for i in range(80)]
+    junk = [(1000 + i, words(i, 60).upper().replace(" ", "### "), 0) for i in range(60)]
+    return spark.createDataFrame(clean + junk, "doc_id bigint, text string, label int").withColumn(
+        "fold", (F.col("doc_id") % 3).cast("int")
+    )
+
+
+def test_quality_tells_junk_from_clean(spark, marked, docs):
+    model = quality.fit(quality.add_statistics(marked))
+    new = spark.createDataFrame(
+        [(1, words(500, 70) + "."), (2, words(501, 70).upper().replace(" ", "### ")), (3, words(500, 70) + "."),
+         (4, ""), (5, None)],
+        "doc_id bigint, text string",
+    )
+    got = {r.doc_id: r.score for r in quality.add_score(quality.add_statistics(new), model).collect()}
+    assert got[1] > 0.8 and got[2] < 0.2 and got[1] == got[3] and got[4] == got[5]
+    scored = quality.add_score(quality.add_statistics(docs), model)
+    assert scored.count() == docs.count()
+    assert scored.where("score is null or score < 0 or score > 1").count() == 0
+    assert set(scored.columns) == set(docs.columns) - {"statistics"}
+
+
+def test_quality_without_labels_is_constant(marked, empty):
+    none = quality.fit(quality.add_statistics(marked.limit(0)))
+    assert none.score(__import__("numpy").zeros((2, len(quality.STATISTICS)))).tolist() == [0.5, 0.5]
+    ones = quality.fit(quality.add_statistics(marked.where("label = 1")))
+    assert ones.levels.tolist() == [1.0]
+    assert quality.add_score(quality.add_statistics(empty), none).count() == 0
+
+
+def test_isotonic_levels_never_fall():
+    import numpy as np
+
+    at, level = quality.isotonic(np.array([2, 2, 2, 4]), np.array([1, 0, 2, 3]), np.arange(4.0))
+    assert (np.diff(level) >= 0).all() and (np.diff(at) > 0).all()
+    assert level[0] == 0.25
+
+
+# -- sharding -------------------------------------------------------------
+
+
+def test_shards_hold_every_row_once_without_gaps(docs):
+    got = sharding.shard_documents(docs, 4).collect()
+    assert len(got) == docs.count()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert set(slots) <= set(range(4))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    texts = sorted((len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows())
+    assert texts == sorted((r["size"], r.text_crc32) for r in got)
+
+
+def test_shards_are_even_and_groups_stay_together(spark):
+    data = [(i, words(i % 700, 20 + i % 50), None, None, None) for i in range(900)]
+    hot = [(1000 + i, "hot text", None, None, None) for i in range(450)]  # a third of all rows
+    got = sharding.shard_documents(spark.createDataFrame(data + hot, DOCS), 5).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.02 * sizes.min()
+    groups = got[got["size"] != 24].groupby(["text_crc32", "size"]).shard.nunique()
+    assert groups.max() == 1
+
+
+def test_no_shards_of_nothing(empty):
+    assert sharding.shard_documents(empty, 4).count() == 0
+
+
+# -- n-gram Jaccard join --------------------------------------------------
+
+
+def brute_components(data, width, percent):
+    sets = {r[0]: shingle_set(r[1], width, lower=True) for r in data if r[0] is not None}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_components_equal_brute_force(spark, width, percent):
+    # Chains of copies of copies, short texts, and a line that many share.
+    data, now, shared = rows(), words(77, 80), words(78, 12)
+    for i in range(25):
+        now = edited(now, 1, 50 + i)
+        data.append((300 + i, now, None, None, None))
+    data += [(400 + i, f"{shared} {words(600 + i, 3 + i % 9)}", None, None, None) for i in range(40)]
+    data += [(500 + i, edited(words(9, 90), 1 + i % 3, i), None, None, None) for i in range(30)]
+    found = ngram_join.ngram_components(clashing(table(spark, data)), percent=percent, width=width)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect() if r.doc_id is not None}
+    assert got == brute_components(data, width, percent)
+    null = [r for r in found.collect() if r.doc_id is None]
+    assert len(null) == 2 and all(r.component_id is None for r in null)
+
+
+def test_components_of_nothing(empty):
+    assert ngram_join.ngram_components(empty).count() == 0
+
+
+def test_connected_components(spark):
+    links = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 55), (55, 55), (50, 60)]
+    got = components.connected_components(spark.createDataFrame(links, "a bigint, b bigint"))
+    want = {i: 0 for i in range(31)} | {50: 50, 55: 50, 60: 50}
+    assert {r.node: r.component for r in got.collect()} == want
+
+
+# -- personal data --------------------------------------------------------
+
+PRIVATE = [
+    "the.72@mail3.example.com", "152.143.123.131", "+1 (017) 555-7713", "4111 1111 1111 1111", "4785380592391139",
+    "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "DE89 3704 0044 0532 0130 00", "123-45-6789", "Frau Anna Müller",
+    "г-н Иван Петров",
+]
+
+
+@pytest.fixture(scope="module")
+def surrogates(spark):
+    data = [(i, f"before {p} after", None, None, None) for i, p in enumerate(PRIVATE)]
+    both = "THE.72@MAIL3.EXAMPLE.COM and +1 017-555-7713 and 4111-1111-1111-1111."
+    data += [(50, both, None, None, None), (51, "nothing private, 3.14 and v2.0", None, None, None),
+             (52, None, None, None, None), (53, "", None, None, None)]
+    out = pii.replace_pii(clashing(spark.createDataFrame(data, DOCS)), "test key")
+    return {r.doc_id: r for r in out.collect()}
+
+
+def test_private_values_are_replaced_in_kind(surrogates):
+    for i, p in enumerate(PRIVATE):
+        new = surrogates[i].text
+        assert p not in new and new.startswith("before ") and new.endswith(" after"), (p, new)
+        value = new[len("before ") : -len(" after")]
+        shape = lambda s: "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s)
+        if i in (0, 2, 3, 4, 6, 7):
+            assert shape(value) == shape(p), (p, value)
+    assert all(0 <= int(o) <= 255 for o in surrogates[1].text.split()[1].split("."))
+    assert luhn(surrogates[3].text) and not luhn(surrogates[4].text)
+    assert mod97(surrogates[6].text.replace("before ", "").replace(" after", "")) == 1
+    assert surrogates[8].text.split()[1] == "Frau" and surrogates[8].text.split()[2] in pii.GIVEN_NAMES[0]
+    assert surrogates[9].text.split()[2] in pii.GIVEN_NAMES[3]
+
+
+def test_one_entity_has_one_surrogate(surrogates):
+    new = surrogates[50].text
+    assert surrogates[0].text.split()[1].upper() in new
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    assert digits(surrogates[2].text) in digits(new) and digits(surrogates[3].text) in digits(new)
+    assert [surrogates[i].text for i in (51, 52, 53)] == ["nothing private, 3.14 and v2.0", None, ""]
+    assert [surrogates[i].n_entities for i in (50, 51, 52, 53)] == [3, 0, 0, 0]
+
+
+def test_surrogates_stay_distinct(spark):
+    data = [(i, f"a{i}@b.example.com 10.0.{i // 250}.{i % 250} +1 (212) 555-{i:04d}", None, None, None) for i in range(1500)]
+    out = pii.replace_pii(spark.createDataFrame(data, DOCS), "k").collect()
+    for k in range(2):
+        assert len({r.text.split()[k] for r in out}) == 1500
+    assert len({r.text.split("+")[1] for r in out}) == 1500
+    assert pii.collisions(spark.createDataFrame(data, DOCS), "k/0").count() == 0
+
+
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def mod97(account):
+    a = account.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97
+
+
+def test_surrogates_of_nothing(empty):
+    assert pii.replace_pii(empty, "k").count() == 0
+
+
+# -- licences -------------------------------------------------------------
+
+
+def test_notices_are_found_with_their_differences(spark):
+    mit = licenses.TEMPLATES[2][2]
+    data = [
+        (1, f"{words(1, 50)}\nReleased under the MIT License.\n{words(2, 50)}", None, None, None),
+        (2, mit.replace("publish", "print", 1), None, None, None),
+        (3, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0.", None, None, None),
+        (4, "Licensed under the Apache License, Version 1.1.", None, None, None),
+        (5, "A driving license was issued without warranty.", None, None, None),
+        (6, None, None, None, None), (7, "", None, None, None), (None, "RELEASED UNDER THE MIT LICENCE", None, None, None),
+    ]
+    got = sorted((r.doc_id or 0, r.license, r.words_missing, r.words_added) for r in licenses.scan(clashing(spark.createDataFrame(data, DOCS))).collect())
+    assert got == [
+        (0, "MIT", 0, 0), (1, "MIT", 0, 0), (2, "MIT", 1, 1), (3, "Apache-2.0", 0, 0), (3, "CC-BY-NC-4.0", 0, 0),
+    ]
+    first = licenses.scan(spark.createDataFrame(data[:1], DOCS)).first()
+    assert first.notice == "Released under the MIT License" and first.reduction > 0.2
+
+
+def test_notice_in_a_very_long_text():
+    text = f"{words(1, 20_000)} Licensed under the Apache License, Version 2.0. {words(2, 20_000)}"
+    assert [n["license"] for n in licenses.notices(text)] == ["Apache-2.0"]
+    assert licenses.notices("license " * 5000) == []
+
+
+def test_no_notices_in_nothing(empty):
+    assert licenses.scan(empty).count() == 0
+
+
+# -- packing --------------------------------------------------------------
+
+
+def test_pieces_round_trip_and_fit(docs):
+    from tokenizers import Tokenizer
+
+    import numpy as np
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack_documents(docs, ranks_file()).collect()
+    want = []
+    for r in rows():
+        ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or min(2048, len(ids)), len(ids), 2048), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want.append((r[0] is None, r[0] or 0, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for p in places.values():
+        at = 0
+        for offset, length in sorted(p):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= -(-sum(w[4] for w in want) // 2048) + 1
+
+
+def test_ids_of_odd_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(ranks_file())
+    for text in ("a  b", " a b ", "x<|endoftext|> y", "\x1c a\x85b\xa0 c", "don't we'll 12!!", "", " ", "a\n\n b\t\tc"):
+        assert encoder.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sum_of_squares_choice():
+    import numpy as np
+
+    # Two open sequences with a gap of 4 and one of 6: a piece of 4 closes one of two.
+    sequence, offset = packing.place(np.array([6, 6, 4, 4]), 10)
+    assert sequence.tolist() == [0, 1, 1, 0] and offset.tolist() == [0, 0, 6, 6]
+
+
+def test_no_pieces_of_nothing(empty):
+    assert packing.pack_documents(empty, ranks_file()).count() == 0
+
+
+# -- mixing ---------------------------------------------------------------
+
+
+def test_mixture_comes_near_its_weights(spark):
+    data = [(i, words(i, 20), None, "big" if i % 3 else "small", None) for i in range(3000)]
+    data += [(5000 + i, words(i, 20), None, None, None) for i in range(300)]
+    df = clashing(spark.createDataFrame(data, DOCS))
+    weights = {"big": 0.3, "small": 0.5, "absent": 7.0, mixing.REST: 0.2}
+    got = mixing.mix_sources(df, weights).toPandas()
+    part = got.text.str.len().groupby(got.source.fillna("?")).sum() / got.text.str.len().sum()
+    assert abs(part["big"] - 0.3) < 0.03 and abs(part["small"] - 0.5) < 0.03 and abs(part["?"] - 0.2) < 0.03
+    assert (got.groupby("doc_id")["copy"].max() == got.groupby("doc_id")["repeats"].first()).all()
+    again = mixing.mix_sources(df.repartition(7), weights).toPandas()
+    key = ["doc_id", "copy"]
+    assert again[key].sort_values(key).values.tolist() == got[key].sort_values(key).values.tolist()
+
+
+def test_poisson_inversion():
+    import math
+
+    cdf = mixing.poisson_cdf(2.5)
+    assert math.isclose(cdf[3], sum(math.exp(-2.5) * 2.5**k / math.factorial(k) for k in range(4)))
+    assert cdf[-1] > 1 - 1e-15 and all(a <= b for a, b in zip(cdf, cdf[1:], strict=False))
+    with pytest.raises(ValueError):
+        mixing.poisson_cdf(1e4)
+
+
+def test_mixing_awkward_rows(docs, empty):
+    out = mixing.mix_sources(docs, {"src0": 0.5, mixing.REST: 0.5})
+    assert set(out.columns) == set(docs.columns)
+    assert mixing.mix_sources(empty, {"src0": 1.0}).count() == 0
+    blank = docs.where("text is null or text = ''")
+    assert mixing.rates(blank, {"src0": 1.0}, 1.0, "source", "text").keys() >= {mixing.REST}
