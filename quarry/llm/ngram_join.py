@@ -18,10 +18,10 @@ longer the prefix, the more shared tokens a candidate needs.
 4. Every posting list is first compared with one of its own sets, that with the
    fewest shingles of its own, so a group of near copies becomes one component
    with as many comparisons as it has members.
-5. Pairs of a list that are still in different components are compared if they
-   share as many prefix tokens as the smaller of their ``l``, and if their sizes
-   and rests allow a link.  Nothing is capped, so no link between components is
-   lost.
+5. Pairs of a list that are still in different components meet if the token is in
+   the prefixes that their two sizes ask for, and are compared if they share as
+   many tokens as the smaller of their ``l`` in prefixes longer by it.  Nothing is
+   capped, so no link between components is lost.
 
 Shingles are 64-bit hashes; similarity is computed from whole sets of them.
 
@@ -49,9 +49,12 @@ PERCENT = 85
 LONGEST = 4
 # The reduction's l is this part of a set; a token in 1 / COMMON of all sets is
 # common.  Sets that a task remembers so as not to send one twice.
-REDUCE = 20
+REDUCE = 8
 COMMON = 100
 REMEMBERED = 1 << 20
+# Up to so many ids (8 bytes each, counted first) are sent to every task rather
+# than shuffling texts; more are joined by a shuffle, with the same result.
+SENT_IDS = 1 << 20
 
 
 def overlap(n, percent: int):
@@ -161,6 +164,8 @@ def survivors(docs: DataFrame, classes: DataFrame, rows: DataFrame, p: dict) ->
         classes.join(shared_tokens(rows), "k").where(F.col("shared") >= need).select("rep")
     )
     kept = materialize(kept)
+    if kept.count() <= SENT_IDS:
+        kept = F.broadcast(kept)
     wanted = docs.select(
         F.col(p["doc_id"]).alias("rep"), F.col(p["text"]).alias("text")
     ).join(kept, "rep", "left_semi")
@@ -184,15 +189,15 @@ def survivors(docs: DataFrame, classes: DataFrame, rows: DataFrame, p: dict) ->
     return found.dropDuplicates(["rep"]).select("rep", F.size("s").cast("bigint").alias("n"), "s")
 
 
-def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``t, rep, n, m, l`` of the adaptive prefixes: ``m`` shingles that others have too,
-    ``l`` shared tokens that the prefix's length asks for."""
-    entries = sets.select("rep", "n", F.explode("s").alias("t"))
-    lists = materialize(entries.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"))
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``rep, n, m, l, prefix``: ``m`` shingles that others have too, rarest first in the
+    adaptive prefix, and the ``l`` shared tokens that its length asks for."""
+    entries = sets.select("rep", F.explode("s").alias("t"))
+    counted = entries.withColumn("f", F.count("*").over(Window.partitionBy("t"))).where("f > 1")
     rest = (
-        entries.join(lists, "t")
-        .groupBy("rep", "n")
+        counted.groupBy("rep")
         .agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("e"))
+        .join(sets.select("rep", "n"), "rep")
         .withColumn("spare", F.col("m") - overlap(F.col("n"), percent))
         .where("spare >= 0")
     )
@@ -217,15 +222,43 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     ]
     best = rest.withColumn("l", F.array_min(F.array(*costs))["l"]).where("l is not null")
     prefix = F.slice("e", 1, (F.col("spare") + F.col("l")).cast("int"))
-    return best.select("rep", "n", "m", "l", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t"))
+    return best.select("rep", "n", "m", "l", F.transform(prefix, lambda x: x["t"]).alias("prefix"))
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Sizes and shingles that others have allow the similarity."""
-    col = lambda side, name: F.col(f"{side}.{name}")
-    least = F.least(col(a, "m"), col(b, "m"))
-    return (least * (100 + percent) >= (col(a, "n") + col(b, "n")) * percent) & (
-        F.least(col(a, "n"), col(b, "n")) * 100 >= F.greatest(col(a, "n"), col(b, "n")) * percent
+def _spare(a: str, b: str, side: str, percent: int) -> Column:
+    """Tokens of ``side`` that a link of this pair can do without.
+
+    Sizes na and nb need an overlap of ``percent * (na + nb) / (100 + percent)``,
+    which is more than either needs with its smallest partner, so the pair's
+    prefixes are shorter than those that the sets are listed with.
+    """
+    both = (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent
+    return F.col(f"{side}.m") - F.ceil(both / (100 + percent))
+
+
+def _meet(a: str, b: str, percent: int) -> Column:
+    """The token is in both sets' shortest prefix for this pair, and the sizes allow a link."""
+    sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
+    for side in (a, b):
+        sizes = sizes & (F.col(f"{side}.at") <= _spare(a, b, side, percent))
+    return sizes
+
+
+def multi_matched(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The ``a, b`` of ``pairs`` that share ``l`` tokens in prefixes longer by ``l - 1``,
+    ``l`` being the smaller that the two sets chose."""
+    x = known.select(F.col("rep").alias("a"), F.struct("n", "m", "l", "prefix").alias("x"))
+    y = known.select(F.col("rep").alias("b"), F.struct("n", "m", "l", "prefix").alias("y"))
+    least = F.least("x.l", "y.l")
+    own = [
+        F.slice(f"{side}.prefix", 1, (_spare("x", "y", side, percent) + least).cast("int"))
+        for side in ("x", "y")
+    ]
+    return (
+        pairs.join(x, "a")
+        .join(y, "b")
+        .where(F.size(F.array_intersect(*own)) >= least)
+        .select("a", "b")
     )
 
 
@@ -244,24 +277,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: links that connect what any links connect."""
-    lists = materialize(postings(sets, percent))
+    known = materialize(prefixes(sets, percent))
+    lists = known.select("rep", "n", "m", F.posexplode("prefix").alias("at", "t"))
     # With one set of each list: that which has most in common with others.
-    pick = F.struct((F.col("m") / F.col("n")).alias("part"), (-F.col("rep")).alias("low"), "rep", "n", "m")
-    pivots = lists.groupBy("t").agg(F.max(pick).alias("p"), F.count("*").alias("many")).where("many > 1")
-    pivots = pivots.select("t", "p.rep", "p.n", "p.m")
+    pick = F.struct(
+        (F.col("m") / F.col("n")).alias("part"), (-F.col("rep")).alias("low"), "rep", "n", "m", "at"
+    )
+    pivots = lists.groupBy("t").agg(F.max(pick).alias("p"), F.count("*").alias("many"))
+    pivots = pivots.where("many > 1").select("t", "p.rep", "p.n", "p.m", "p.at")
+    pair = (F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
     first = (
         lists.alias("a")
         .join(pivots.alias("b"), "t")
-        .where((F.col("a.rep") != F.col("b.rep")) & _may_link("a", "b", percent))
-        .select(
-            F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")
-        )
+        .where((F.col("a.rep") != F.col("b.rep")) & _meet("a", "b", percent))
+        .select(*pair)
         .distinct()
     )
-    first = materialize(verified(materialize(first), sets, percent))
-    component = connected_components(first).select(
-        F.col("node").alias("rep"), "component"
-    )
+    first = materialize(multi_matched(first, known, percent))
+    first = materialize(verified(first, sets, percent))
+    component = connected_components(first).select(F.col("node").alias("rep"), "component")
     # Then all pairs of a list that are in different components.
     lists = materialize(
         lists.join(component, "rep", "left").withColumn(
@@ -269,22 +303,22 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         )
     )
     mixed = lists.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = materialize(mixed.where("lo != hi").select("t"))
-    open_lists = materialize(lists.join(mixed, "t", "left_semi"))
+    open_lists = materialize(
+        lists.join(materialize(mixed.where("lo != hi").select("t")), "t", "left_semi")
+    )
     second = (
         open_lists.alias("a")
         .join(open_lists.alias("b"), "t")
         .where(
             (F.col("a.rep") < F.col("b.rep"))
             & (F.col("a.component") != F.col("b.component"))
-            & _may_link("a", "b", percent)
+            & _meet("a", "b", percent)
         )
-        .groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("a.l", "b.l")).alias("l"))
-        .where("shared >= l")
-        .select("a", "b")
+        .select(*pair)
+        .distinct()
     )
-    return first.unionByName(verified(materialize(second), sets, percent))
+    second = materialize(multi_matched(second, known, percent))
+    return first.unionByName(verified(second, sets, percent))
 
 
 def ngram_components(
