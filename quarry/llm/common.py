@@ -82,13 +82,16 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def text_chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first, last, bytes, offsets)`` of runs of whole texts of about ``limit`` bytes."""
+def text_chunks(
+    column, limit: int = CHUNK_BYTES, most: int = 1 << 20
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first, last, bytes, offsets)`` of runs of whole texts of about ``limit`` bytes
+    and of at most ``most`` texts."""
     data, offsets = utf8(column)
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(rows, max(first + 1, last))
+        last = min(rows, first + most, max(first + 1, last))
         a, b = offsets[first], offsets[last]
         yield first, last, data[a:b], offsets[first : last + 1] - a
         first = last

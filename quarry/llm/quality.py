@@ -43,6 +43,10 @@ FIXED_POINT = float(1 << 20)
 CLIP = 4.0
 BINS = 1024
 FOLDS = 3
+# Bytes and texts that one numpy step describes; its arrays take about 100 times
+# the bytes and 2 kB a text.
+CHUNK_BYTES = 1 << 19
+CHUNK_TEXTS = 2048
 
 
 def _byte_classes() -> np.ndarray:
@@ -123,7 +127,7 @@ def add_statistics(df: DataFrame, text: str = "text", out: str = "statistics") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(len(names))
-            for first, last, data, offsets in text_chunks(column):
+            for first, last, data, offsets in text_chunks(column, CHUNK_BYTES, CHUNK_TEXTS):
                 values = np.ascontiguousarray(_statistics(data, offsets)).ravel()
                 array = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values)
