@@ -7,11 +7,11 @@ shard's residual capacity vector is highest.
 
 At scale no task sees all groups:
 
-* The ``TOP`` heaviest items are placed on the driver, a fixed number at any
-  input size.
-* The others, none of which weighs more than 1 / ``TOP`` of the total, are
-  dealt by weight class and hash into cells of about ``CELL`` items.  Each cell
-  is packed in a task of its own into the capacity that the heaviest left.
+* The heaviest items, as many classes of weight (eight to a power of two) as
+  together hold at most ``TOP`` items, are placed on the driver.
+* The others are dealt by coarser weight class and hash into cells of about
+  ``CELL`` items.  Each cell is packed in a task of its own into the capacity
+  that the heaviest left.
 * A group above a quarter of a shard's share of rows or bytes (there are at most
   ``8 * shards``, hence the broadcast) can't stay together in near-equal shards;
   it is split by a hash of ``doc_id`` into parts of about that size.
@@ -35,9 +35,12 @@ from quarry.llm.common import materialize
 
 TOP = 4096
 CELL = 4096
+# Classes of weight to a power of two, and powers of two to a cell's class.
+STEPS = 8
+OCTAVES = 4
 PARTS_A_SHARD = 4
 # Bytes count most in the dot product: theirs is the law that must hold.
-IMPORTANCE = (16.0, 1.0, 1.0)
+IMPORTANCE = (64.0, 1.0, 1.0)
 ROW_BYTES = 16
 
 _ITEM = ("text_hash", "text_crc32", "size", "part")
@@ -116,10 +119,17 @@ def vector_pack(rows: DataFrame, shards: int) -> DataFrame:
     share = sum(F.col("n") * m * F.lit(w / sum(IMPORTANCE) / float(t)) for w, m, t in measures)
     items = items.withColumn("share", share)
 
-    # The heaviest, on the driver.
-    top = items.orderBy(F.desc("share"), *_ITEM).limit(TOP).toPandas()
-    cut = float(top["share"].iloc[-1]) if len(top) == TOP else -1.0
-    top = top[top["share"] > cut].reset_index(drop=True)
+    # The heaviest, on the driver; a count for each class of weight tells which.
+    items = items.withColumn("kind", F.floor(-F.log2("share") * STEPS).cast("int"))
+    counts = sorted((r["kind"], r["count"]) for r in items.groupBy("kind").count().collect())
+    held, cut = 0, -1
+    for kind, count in counts:
+        if held + count > TOP:
+            break
+        held, cut = held + count, kind
+    top = items.where(F.col("kind") <= cut).drop("kind").toPandas()
+    top = top.sort_values(["share", *_ITEM], ascending=[False, True, True, True, True])
+    top = top.reset_index(drop=True)
     capacity = np.full((shards, 3), 1.0 / shards)
     top["shard"] = place(_weights(top, total), capacity, 0)
     top["start"] = top.groupby("shard")["n"].cumsum() - top["n"]
@@ -135,11 +145,15 @@ def vector_pack(rows: DataFrame, shards: int) -> DataFrame:
     )
 
     # The others, cell by cell, into what is left.
-    rest = items.where(F.col("share") <= cut) if cut >= 0 else items.limit(0)
-    rest = rest.withColumn("kind", F.floor(-F.log2("share")).cast("int"))
-    cells = {
-        r["kind"]: -(-r["count"] // CELL) for r in rest.groupBy("kind").count().collect()
-    }  # a row for each power of two that occurs
+    rest = items.where(F.col("kind") > cut).withColumn(
+        "kind", F.floor(F.col("kind") / (STEPS * OCTAVES)).cast("int")
+    )
+    cells: dict[int, int] = {}
+    for kind, count in counts:
+        if kind > cut:
+            coarse = kind // (STEPS * OCTAVES)
+            cells[coarse] = cells.get(coarse, 0) + count
+    cells = {kind: -(-count // CELL) for kind, count in cells.items()}
     left = np.maximum(capacity, 0.0)
     left = left / np.maximum(left.sum(axis=0), 1e-300)
 
