@@ -1,8 +1,9 @@
 """Document fingerprints by MinHash.
 
 A text's shingles of ``WIDTH`` words are hashed to 64 bits; ``PERMUTATIONS``
-universal permutations ``a * x + b`` (a odd, modulo 2^64) of them each give the
-smallest value's top 16 bits.  The fingerprint is those in hexadecimal, and two
+universal permutations ``a * x + b`` (a odd, modulo 2^64) of them each give 16
+bits of a hash of the smallest value.  (Its own top bits are zeros in long texts,
+whatever they say.)  The fingerprint is those in hexadecimal, and two
 fingerprints' likeness, the part of places that agree, estimates the Jaccard
 similarity of the texts' shingle sets.
 
@@ -48,7 +49,7 @@ def permutations(count: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarra
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Texts x permutations: top 16 bits of the smallest permuted shingle."""
+    """Texts x permutations: 16 bits of a hash of the smallest permuted shingle."""
     factors, addends = permutations()
     out = np.full((len(counts), PERMUTATIONS), 0xFFFF, dtype=np.uint16)
     full = np.flatnonzero(counts)
@@ -62,7 +63,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         least = np.empty((PERMUTATIONS, last - first), dtype=np.uint64)
         for k in range(PERMUTATIONS):
             np.minimum.reduceat(x * factors[k] + addends[k], starts, out=least[k])
-        out[full[first:last]] = (least >> np.uint64(48)).T
+        out[full[first:last]] = (mix(least) >> np.uint64(48)).T
         first = last
     return out
 

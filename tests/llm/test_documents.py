@@ -82,6 +82,20 @@ def test_signature_likeness_estimates_jaccard():
         assert abs((a == b).mean() - len(x & y) / len(x | y)) < 0.15
 
 
+@pytest.mark.parametrize("count", [20_000, 100_000, 1_000_000])
+def test_signature_likeness_of_long_texts(count):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(count)
+    base, other = (rng.integers(0, 10**6, count) for _ in range(2))
+    near = base.copy()
+    near[: count // 10] = rng.integers(0, 10**6, count // 10)
+    texts = [" ".join(map(str, t)) for t in (base, other, near)]
+    a, b, c = fingerprints.of_texts(pa.array(texts))
+    assert (a == b).mean() < 0.05 and abs((a == c).mean() - 0.9 / 1.1) < 0.15
+
+
 # -- quality --------------------------------------------------------------
 
 
