@@ -1,12 +1,17 @@
 """Licence notices by conditional compression.
 
-Candidate blocks are runs of sentences or lines with a licensing word.  Each is
-compressed alone and with every template as a raw zstandard dictionary; the
-templates are ranked by how much smaller that makes the block.  In this order
-they are confirmed by aligning words: a template wins when its marking words
-(name and version) are all there and the words missing and added within its
-span are at most ``TOLERANCE`` of it.  What the winner covers is cut out, and the
-rest of the block is ranked again, so a block can hold several notices.
+Candidate blocks are runs of words around licensing words, over line breaks and
+paragraphs: a block ends where more words follow without a licensing word than
+in any template.  Each is compressed alone and with every template as a raw
+zstandard dictionary; the templates are ranked by how much smaller that makes
+the block.  In this order they are confirmed by aligning words: a template wins
+when its marking words (name and version) are all there and the words missing
+and added within its span are at most ``TOLERANCE`` of it.  What the winner
+covers is cut out, and the rest of the block is ranked again, so a block can
+hold several notices.  ``reduction`` is the winner's, on what it covers.
+
+A licence's title, its text and its SPDX line are notices of their own.  In an
+SPDX expression each licence that has a template is one.
 
 Letter case, punctuation around words and white space don't count.  Blocks
 longer than ``WINDOW`` words are searched in windows that overlap by half, which
@@ -21,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,24 +82,56 @@ TEMPLATES = (
     ("CC0-1.0", ("cc0", "1.0"), "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", ("unencumbered", "domain"),
      "This is free and unencumbered software released into the public domain."),
+    ("MIT", ("mit",), "Distributed under the MIT License."),
+    ("MIT", ("mit",), "The MIT License"),
+    ("BSD-2-Clause", ("redistribution", "binary", "reproduce"),
+     "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met: Redistributions of source code must retain the "
+     "above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
+     "binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", ("redistribution", "binary", "neither", "endorse"),
+     "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met: Redistributions of source code must retain the "
+     "above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
+     "binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution. Neither "
+     "the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission."),
 )
+# Each licence's SPDX identifiers.
+SPDX = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",),
+    "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"),
+    "LGPL-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"),
+    "MPL-2.0": ("MPL-2.0",), "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",),
+    "ISC": ("ISC",), "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC0-1.0": ("CC0-1.0",), "Unlicense": ("Unlicense",),
+}
+TAG = "spdx-license-identifier"
+TEMPLATES += tuple(
+    (name, (TAG, i.lower()), f"SPDX-License-Identifier: {i}") for name, ids in SPDX.items() for i in ids
+)
 
-CUE = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|public domain|warrant", re.I)
+CUE = re.compile(
+    r"licen[cs]|copyright|spdx|permission|redistribut|public[\W_]{1,40}domain|warrant", re.I
+)
 # Bytes that a template must save for it to be aligned.
 LEAST_SAVED = 6
 TOLERANCE = 0.15
 WINDOW = 400
-GAP = 8
 LEVEL = 12
 
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[.'\-](?=[^\W_]))*")
-_END = re.compile(r"\n|(?<=[.!?])[ \t]+")
+# A hyphen at a line's end holds a word together, over the next line's comment signs.
+_WORD = re.compile(r"[^\W_](?:[^\W_]|[.'\-](?=[^\W_])|-[ \t]*\r?\n[\W_]{0,40}(?=[^\W_]))*")
+_BREAK = re.compile(r"-[ \t]*\r?\n[\W_]*")
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
     """Lower-case words, in one spelling of licence, with their places."""
     return [
-        (m[0].lower().replace("licence", "license"), m.start(), m.end())
+        (_BREAK.sub("-", m[0]).lower().replace("licence", "license"), m.start(), m.end())
         for m in _WORD.finditer(text)
     ]
 
@@ -116,23 +154,52 @@ def compressors():
     return plain, out
 
 
+def _reach() -> tuple[int, int, int]:
+    """Most words that a notice has before its first cue, after its last, and between two;
+    a block's are no fewer between two than before and after, so that blocks don't meet."""
+    before = after = between = 0
+    for _, _, text in TEMPLATES:
+        extra = 2 + int(TOLERANCE * len(_WORD.findall(text)))
+        cues = list(CUE.finditer(text))
+        before = max(before, extra + len(_WORD.findall(text, 0, cues[0].start())))
+        after = max(after, extra + len(_WORD.findall(text, cues[-1].end())))
+        for a, b in zip(cues, cues[1:], strict=False):
+            between = max(between, extra + len(_WORD.findall(text, a.end(), b.start())))
+    return before, after, max(between, before + after)
+
+
+BEFORE, AFTER, BETWEEN = _reach()
+# Characters that are searched for the words before a cue.
+BACK = 64 * BEFORE
+
+
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of sentences with a cue, joined over at most one sentence or ``GAP`` words between."""
-    if not CUE.search(text):
-        return
+    """Spans around cues that have at most ``BETWEEN`` words between them."""
     start = end = None
-    gap, at = 0, 0
-    for stop in [m.end() for m in _END.finditer(text)] + [len(text)]:
-        if CUE.search(text, at, stop):
-            start, end, gap = (at if start is None else start), stop, 0
-        elif start is not None and text[at:stop].strip():
-            gap += 1
-            if gap > 1 and len(_WORD.findall(text, end, stop)) > GAP:
-                yield start, end
-                start, gap = None, 0
-        at = stop
+
+    def ended() -> tuple[int, int]:
+        after = list(islice(_WORD.finditer(text, end), AFTER))
+        return start, after[-1].end() if after else end
+
+    for cue in CUE.finditer(text):
+        if start is not None:
+            if len(list(islice(_WORD.finditer(text, end, cue.start()), BETWEEN + 1))) <= BETWEEN:
+                end = cue.end()
+                continue
+            yield ended()
+        before = list(_WORD.finditer(text, max(0, cue.start() - BACK), cue.start()))[-BEFORE:]
+        start, end = (before[0].start() if before else cue.start()), cue.end()
     if start is not None:
-        yield start, end
+        yield ended()
+
+
+def expressions(words: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """``words`` with a tag, of no length, before every licence of an SPDX expression."""
+    out = list(words)
+    for i in range(2, len(out) - 1):
+        if out[i][0] in ("or", "and", "with") and out[i - 2][0] == TAG:
+            out[i] = (TAG, out[i + 1][1], out[i + 1][1])
+    return out
 
 
 def differences(words: list[str], template: tuple[str, ...]) -> tuple[int, int, list[str], int]:
@@ -166,12 +233,15 @@ def notices(text: str, made=None) -> list[dict]:
             ((1 - len(t[3].compress(raw)) / alone, -i) for i, t in enumerate(templates)), reverse=True
         )
         for reduction, i in ranked:
-            if reduction * alone < LEAST_SAVED:
-                return
             name, marks, template, _ = templates[-i]
+            # Templates of a few words save little; one whose words are all there is aligned.
+            if reduction * alone < LEAST_SAVED and not set(template) <= set(bare):
+                continue
             first, last, missing, added = differences(bare, template)
             if set(marks) & set(missing) or len(missing) + added > TOLERANCE * len(template):
                 continue
+            covered = " ".join(bare[first:last]).encode()
+            reduction = 1 - len(templates[-i][3].compress(covered)) / len(plain.compress(covered))
             out.append({
                 "license": name, "reduction": reduction, "start": words[first][1],
                 "end": words[last - 1][2], "words_missing": len(missing), "words_added": added,
@@ -181,17 +251,16 @@ def notices(text: str, made=None) -> list[dict]:
             return
 
     for start, end in blocks(text):
-        # A notice's last words can follow its last cue, in a sentence of their own.
-        after = [m.end() for m, _ in zip(_WORD.finditer(text, end), range(GAP))]
-        end = after[-1] if after else end
-        words = [(w, a + start, b + start) for w, a, b in words_of(text[start:end])]
+        words = expressions([(w, a + start, b + start) for w, a, b in words_of(text[start:end])])
         for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
             search(words[at : at + WINDOW])
-    # A notice that two windows hold is one.
+    # A notice that two windows hold is one, as is one that a window cut off.
     kept: dict[tuple, dict] = {}
+    most = -1
     for n in sorted(out, key=lambda n: (n["start"], -n["end"])):
-        if not any(k["license"] == n["license"] and n["end"] <= k["end"] for k in kept.values()):
+        if n["end"] > most:
             kept.setdefault((n["start"], n["license"]), n)
+            most = n["end"]
     return list(kept.values())
 
 

@@ -310,6 +310,64 @@ def test_notice_in_a_very_long_text():
     assert licenses.notices("license " * 5000) == []
 
 
+@pytest.mark.parametrize("columns", [40, 72, 80])
+@pytest.mark.parametrize("leader", ["", "# ", " * "])
+def test_wrapped_notices_are_found(columns, leader):
+    import textwrap
+
+    for name, _, text in licenses.TEMPLATES:
+        lines = textwrap.wrap(text, columns, initial_indent=leader, subsequent_indent=leader, break_long_words=False)
+        whole = "\n".join(["import os", *lines, "", words(3, 60), words(4, 60)])
+        for t in (whole, f"{words(5, 300)}\n{whole}"):
+            assert [n["license"] for n in licenses.notices(t)] == [name], (name, columns, text)
+
+
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (MIT_FILE, ["MIT", "MIT"]), (BSD_FILE, ["BSD-2-Clause"]), (BSD_FILE + THIRD, ["BSD-3-Clause"]),
+        (" ".join((BSD_FILE + THIRD).split()), ["BSD-3-Clause"]), (f"{words(6, 330)} {BSD_FILE}{THIRD}", ["BSD-3-Clause"]),
+        ("copyright " * 300 + BSD_FILE + THIRD, ["BSD-3-Clause"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;", ["MIT", "Apache-2.0"]),
+        ("# SPDX-License-Identifier: (EPL-2.0 OR GPL-2.0-or-later WITH x-exception)", ["GPL-2.0"]),
+        ("Distributed under the MIT License", ["MIT"]), ("The MIT License", ["MIT"]), ("The NIT License", []),
+    ],
+)
+def test_notices_as_files_hold_them(text, want):
+    assert [n["license"] for n in licenses.notices(text)] == want
+
+
 def test_no_notices_in_nothing(empty):
     assert licenses.scan(empty).count() == 0
 
