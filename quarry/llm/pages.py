@@ -1,18 +1,23 @@
 """Main text of web pages by differencing each with its nearest page.
 
-``text_lines`` reads a page into lines, one a block element, and tells from the
+``page_lines`` reads a page into lines, one a block element, and tells from the
 markup whether a line belongs to the article (inside an article or main
 element), to the page's frame (menus, headers, footers, sidebars, notices,
-adverts, forms, comments: never kept), or whether the markup doesn't say.
-``shared_lines`` pairs each page with the page of the same host whose URL path
-is nearest, aligns their lines by longest common subsequence, and marks those
-of the third kind that both have: a template's lines, which are deleted.  A
-line that the markup places in the article is kept though other pages have it,
-as articles do quote each other.
+adverts, forms, comments), or whether the markup doesn't say.  ``shared_lines``
+pairs every page with the page of the same host whose URL path is nearest,
+aligns all their lines by longest common subsequence, and marks those that both
+have: a template's lines, which are deleted.  Then the markup is asked: a frame's
+line goes though the other page hasn't got it, and a line that the markup places
+in the article stays though the other page has it, as articles do quote each
+other.  A page without another to compare with is left to its markup
+(``text_lines``).
+
+Pages of one host with the same lines are one in pairing, or they would delete
+each other; all get what their one page gets.
 
 Pairing sorts hosts, paths and line hashes, not pages, by range, so a host that
-holds a third of all pages is dealt over many tasks.  Only pages with lines to
-delete send rows back to the pages.
+holds a third of all pages is dealt over many tasks.  Only pages with lines that
+the markup doesn't settle get rows back.
 
 Defined results: a null page counts as empty and gives an empty text, as does a
 page without an article; a null URL is a host of its own kind and the empty
@@ -75,7 +80,7 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[\s_\-]+")
 
-ARTICLE, MAIN, UNKNOWN = 2, 1, 0
+ARTICLE, MAIN, UNKNOWN, FRAMED = 2, 1, 0, -1
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
@@ -98,46 +103,47 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     return bool(words & FRAME_WORDS), UNKNOWN
 
 
-def text_lines(page: str) -> tuple[list[str], list[int]]:
-    """The page's lines that the frame doesn't hold, and what the markup says of each."""
+def page_lines(page: str) -> tuple[list[str], list[int]]:
+    """All lines of the page, and what the markup says of each."""
     lines: list[str] = []
     kinds: list[int] = []
     buffer: list[str] = []
+    aside: list[str] = []  # the frame's text
     stack: list[tuple[str, bool, int]] = []  # element, in the frame, article or main around
     framed, around, at, end = False, UNKNOWN, 0, len(page)
 
     def flush() -> None:
-        if buffer:
-            line = " ".join("".join(buffer).split())
-            if line:
-                lines.append(line)
-                kinds.append(around)
-            buffer.clear()
+        for held, kind in ((buffer, around), (aside, FRAMED)):
+            if held:
+                line = " ".join("".join(held).split())
+                if line:
+                    lines.append(line)
+                    kinds.append(kind)
+                held.clear()
 
     while at < end:
         start = page.find("<", at)
         if start < 0:
             start = end
-        if start > at and not framed:
-            buffer.append(html.unescape(page[at:start]))
+        if start > at:
+            (aside if framed else buffer).append(html.unescape(page[at:start]))
         if start == end:
             break
         found = _TAG.match(page, start) or _LOOSE.match(page, start)
         if found is None:
-            if not framed:
-                buffer.append("<")
+            (aside if framed else buffer).append("<")
             at = start + 1
             continue
         at = found.end()
         name = found[2]
         if name is None:
-            if page.startswith("<![CDATA[", start) and not framed:
-                buffer.append(page[start + 9 : at - 3])
+            if page.startswith("<![CDATA[", start):
+                (aside if framed else buffer).append(page[start + 9 : at - 3])
             continue
         name = name.lower()
         if name not in INLINE and name not in RAW:
             if name == "br":
-                buffer.append(" ")
+                (aside if framed else buffer).append(" ")
             else:
                 flush()
         if found[1]:
@@ -157,13 +163,17 @@ def text_lines(page: str) -> tuple[list[str], list[int]]:
             framed, around = framed or frame, max(around, article)
             stack.append((name, framed, around))
     flush()
-    best = max(kinds, default=UNKNOWN)
-    if best:
-        kept = [i for i, k in enumerate(kinds) if k == best]
-        return [lines[i] for i in kept], [best] * len(kept)
     return lines, kinds
 
 
+def text_lines(page: str) -> tuple[list[str], list[int]]:
+    """The lines that the markup alone keeps: the article's, or all but the frame's."""
+    lines, kinds = page_lines(page)
+    least = MAIN if max(kinds, default=UNKNOWN) > UNKNOWN else UNKNOWN
+    kept = [i for i, k in enumerate(kinds) if k >= least]
+    return [lines[i] for i in kept], [kinds[i] for i in kept]
+
+
 def common_lines(a: Sequence[int], b: Sequence[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence of ``a`` and ``b``."""
     head = 0
@@ -201,47 +211,67 @@ def _line_hash(line: str) -> int:
 
 
 def shared_lines(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
-    """``page_id, url, shared``: lines to delete of the pages that have any.
+    """``page_id, url, body, unknown, marked, alone, shared`` of every page.
 
-    ``shared`` holds places in ``text_lines``.
+    ``shared`` holds places in ``page_lines``; ``body`` is the page's hash.
+    ``alone``: no other page of the host.  ``unknown``, ``marked``: some line is
+    of a kind that the markup doesn't say, or in the article.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, unknown = [], []
-            for value in batch.column(3):
-                lines, kinds = text_lines(value.as_py() or "")
+            hashes, unknown, marked = [], [], []
+            for value in batch.column(4):
+                lines, kinds = page_lines(value.as_py() or "")
                 hashes.append([_line_hash(x) for x in lines])
                 unknown.append(UNKNOWN in kinds)
+                marked.append(max(kinds, default=UNKNOWN) > UNKNOWN)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(i) for i in range(3)],
+                    *[batch.column(i) for i in range(4)],
                     pa.array(hashes, pa.list_(pa.int64())),
                     pa.array(unknown, pa.bool_()),
+                    pa.array(marked, pa.bool_()),
                 ],
-                names=["page_id", "url", "path", "lines", "unknown"],
+                names=["page_id", "url", "path", "body", "lines", "unknown", "marked"],
             )
 
     address = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.\-]*://([^?#]*)", 1)
     address = F.when(address == "", F.coalesce(F.col(url), F.lit(""))).otherwise(address)
     kind = pages.schema[page_id].dataType.simpleString()
-    key = ["path", "page_id", "url"]
+    same = ["host", "h1", "h2"]
     described = (
         pages.select(
             F.col(page_id).alias("page_id"),
             F.col(url).alias("url"),
             address.alias("path"),
+            F.xxhash64(F.col(page)).alias("body"),
             F.col(page).alias("page"),
         )
-        .mapInArrow(hashed, f"page_id {kind}, url string, path string, lines array<bigint>, unknown boolean")
+        .mapInArrow(
+            hashed,
+            f"page_id {kind}, url string, path string, body bigint, lines array<bigint>, "
+            "unknown boolean, marked boolean",
+        )
+        .withColumns({
+            "host": F.substring_index("path", "/", 1),
+            "h1": F.xxhash64("lines"),
+            "h2": F.xxhash64(F.lit(1), "lines"),
+        })
+    )
+    described = materialize(described)
+    # Pages of the same lines are one, under their first path.
+    key = ["host", "path", "h1", "h2"]
+    ones = described.groupBy(*same).agg(
+        F.min("path").alias("path"), F.any_value("lines").alias("lines")
     )
-    described = described.repartitionByRange(*key).sortWithinPartitions(*key)
-    described = materialize(described.withColumn("part", F.spark_partition_id()))
+    ones = ones.repartitionByRange(*key).sortWithinPartitions(*key)
+    ones = materialize(ones.withColumn("part", F.spark_partition_id()))
 
     # Neighbours in the order of host and path.  Each part's first and last row
     # have theirs in other parts: a row a part.
     row = F.struct("path", "lines")
-    ends = described.groupBy("part").agg(
+    ends = ones.groupBy("part").agg(
         F.min_by(row, F.struct(*key)).alias("head"), F.max_by(row, F.struct(*key)).alias("tail")
     )
     parts = Window.orderBy("part")
@@ -250,41 +280,40 @@ def shared_lines(pages: DataFrame, page_id: str, url: str, page: str) -> DataFra
     )
     inside = Window.partitionBy("part").orderBy(*key)
     paired = (
-        described.withColumn("prior", F.lag(row).over(inside))
+        ones.withColumn("prior", F.lag(row).over(inside))
         .withColumn("next", F.lead(row).over(inside))
-        .where("unknown")
         .join(ends, "part")
         .select(
-            "page_id",
-            "url",
+            *same,
             "path",
             "lines",
             F.coalesce("prior", "before").alias("prior"),
             F.coalesce("next", "after").alias("next"),
         )
     )
-    out = f"page_id {kind}, url string, shared array<int>"
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            alone, shared = [], []
+            for r in batch.select(["path", "lines", "prior", "next"]).to_pylist():
                 near = nearest(r["path"], r["prior"], r["next"])
-                shared = common_lines(r["lines"], near["lines"]) if near else []
-                if shared:
-                    rows.append((r["page_id"], r["url"], shared))
-            if rows:
-                ids, urls, shared = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, batch.schema.field("page_id").type),
-                        pa.array(urls, pa.string()),
-                        pa.array(shared, pa.list_(pa.int32())),
-                    ],
-                    names=["page_id", "url", "shared"],
-                )
+                alone.append(near is None)
+                shared.append(common_lines(r["lines"], near["lines"]) if near else [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(i) for i in range(3)],
+                    pa.array(alone, pa.bool_()),
+                    pa.array(shared, pa.list_(pa.int32())),
+                ],
+                names=[*same, "alone", "shared"],
+            )
 
-    return paired.mapInArrow(differ, out)
+    differed = materialize(
+        paired.mapInArrow(differ, "host string, h1 bigint, h2 bigint, alone boolean, shared array<int>")
+    )
+    return described.join(differed, same).select(
+        "page_id", "url", "body", "unknown", "marked", "alone", "shared"
+    )
 
 
 def nearest(path: str, prior: dict | None, following: dict | None) -> dict | None:
@@ -311,23 +340,36 @@ def main_text(
     pages = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page")
     )
-    marked = materialize(shared_lines(pages, "page_id", "url", "page"))
-    marked = marked.groupBy(F.col("page_id").alias("__id"), F.col("url").alias("__url")).agg(
-        F.min("shared").alias("shared")
+    settled = F.when(F.col("alone"), ~F.col("marked")).otherwise(F.size("shared") == 0)
+    found = shared_lines(pages, "page_id", "url", "page").where(F.col("unknown") & ~settled)
+    found = materialize(
+        found.groupBy(F.col("page_id").alias("__id"), F.col("url").alias("__url"), "body").agg(
+            F.any_value("alone").alias("alone"), F.any_value("shared").alias("shared")
+        )
     )
     both = pages.join(
-        marked,
-        F.col("page_id").eqNullSafe(F.col("__id")) & F.col("url").eqNullSafe(F.col("__url")),
+        found,
+        F.col("page_id").eqNullSafe(F.col("__id"))
+        & F.col("url").eqNullSafe(F.col("__url"))
+        & (F.xxhash64("page") == F.col("body")),
         "left",
-    ).select("page_id", "url", "page", "shared")
+    ).select("page_id", "url", "page", "alone", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for value, shared in zip(batch.column(2), batch.column(3), strict=True):
-                lines, kinds = text_lines(value.as_py() or "")
-                gone = {i for i in shared.as_py() or () if i < len(kinds) and kinds[i] == UNKNOWN}
-                texts.append(" ".join(x for i, x in enumerate(lines) if i not in gone))
+            for value, alone, shared in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
+                whole = value.as_py() or ""
+                if alone.as_py():
+                    texts.append(" ".join(text_lines(whole)[0]))
+                    continue
+                lines, kinds = page_lines(whole)
+                gone = {i for i in shared.as_py() or () if kinds[i] == UNKNOWN}
+                texts.append(
+                    " ".join(
+                        x for i, x in enumerate(lines) if kinds[i] != FRAMED and i not in gone
+                    )
+                )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                 names=["page_id", "url", "text"],

@@ -156,6 +156,20 @@ def test_repeated_and_null_rows(spark):
     assert pages.main_text(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_copies_do_not_delete_each_other(spark):
+    def page(i):
+        return template(f"<p>Story {i} first.</p><p>Then {i}.</p>", i)
+
+    data = [(i, f"http://h.example/a/{i}", page(i), None) for i in range(4)]
+    data += [(10 + i, f"http://h.example/a/1?utm_source={i}", page(1), None) for i in range(5)]
+    data += [(2, "http://h.example/a/2", page(2), None)] * 3
+    data += [(20, "http://h.example/z/9", page(1), None), (30, "http://h.example/a/0", page(7), None)]
+    df = spark.createDataFrame(data, PAGE)
+    got = sorted((r.page_id, r.text) for r in pages.main_text(df).collect())
+    story = {**{i: i for i in range(4)}, **{10 + i: 1 for i in range(5)}, 20: 1, 30: 7}
+    assert got == sorted((r[0], f"Story {story[r[0]]} first. Then {story[r[0]]}.") for r in data)
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     import random
 
