@@ -170,6 +170,15 @@ def test_copies_do_not_delete_each_other(spark):
     assert got == sorted((r[0], f"Story {story[r[0]]} first. Then {story[r[0]]}.") for r in data)
 
 
+def test_markup_checks_the_difference_of_all_pages(spark):
+    body = (
+        "<div>Site name</div><nav>menu {0}</nav><main><h1>Head {0}</h1><p>Story {0}.</p>"
+        "<article>Card</article></main><p>Note {0}.</p><div>All rights kept</div>"
+    )
+    got = texts(spark, [(i, f"http://h.example/{i}", body.format(i), None) for i in range(5)])
+    assert all(got[i] == f"Head {i} Story {i}. Card Note {i}." for i in range(5))
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     import random
 
