@@ -12,12 +12,14 @@ At scale no task sees all groups:
 * The others are dealt by coarser weight class and hash into cells of about
   ``CELL`` items.  Each cell is packed in a task of its own into the capacity
   that the heaviest left.
-* A group above a quarter of a shard's share of rows or bytes (there are at most
-  ``8 * shards``, hence the broadcast) can't stay together in near-equal shards;
-  it is split by a hash of ``doc_id`` into parts of about that size.
+* Only a group of more bytes than a shard's share can't stay together in shards
+  of near-equal bytes; it is split by a hash of ``doc_id`` into parts of about a
+  quarter of a share.  All others are placed whole, however many rows they have.
 
 Rows are numbered inside their part, parts inside their cell and shard, cells
-inside their shard, so that slots need no sort of a whole shard.
+inside their shard, so that slots need no sort of a whole shard.  A group above a
+quarter of a shard's share of rows or bytes (there are at most ``8 * shards``,
+hence the broadcast) is numbered in several tasks, by another hash of ``doc_id``.
 
 Defined results: a null text counts as the empty text; repeated rows and rows
 without a doc_id get slots of their own; an empty table gives no rows.  Only
@@ -65,15 +67,21 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def place(items: np.ndarray, residual: np.ndarray, first: int) -> np.ndarray:
     """Shard of each item (rows of ``items``), in the order given.
 
-    ``residual``: shards x measures, in the items' units; changed in place.
-    Ties go to the lowest shard counted from ``first``.
+    ``residual``: shards x measures, in the items' units; changed in place.  A shard
+    that a group filled with tokens or rows beyond its share has no room for more,
+    but no debt that would keep it short of bytes.  Ties go to the lowest shard
+    counted from ``first``.
     """
     out = np.empty(len(items), dtype=np.int64)
     shards = len(residual)
     turned = np.roll(residual, -first, axis=0)
+    room = turned.copy()
+    room[:, 1:] = np.maximum(room[:, 1:], 0)
     for i, (item, weighted) in enumerate(zip(items, items * IMPORTANCE, strict=True)):
-        best = int(np.argmax(turned @ weighted))
+        best = int(np.argmax(room @ weighted))
         turned[best] -= item
+        room[best, 0] = turned[best, 0]
+        room[best, 1:] = np.maximum(turned[best, 1:], 0)
         out[i] = (best + first) % shards
     residual[:] = np.roll(turned, first, axis=0)
     return out
@@ -99,21 +107,22 @@ def vector_pack(rows: DataFrame, shards: int) -> DataFrame:
     n, total_bytes = int(whole["n"]), int(whole["b"] or 0)
     total = np.maximum([total_bytes, int(whole["t"] or 0), n], 1).astype(np.float64)
     group = ["text_hash", "text_crc32", "size"]
-    least = PARTS_A_SHARD * shards
-    parts = F.ceil(
-        F.greatest(
-            F.col("n") * least / F.lit(float(max(n, 1))),
-            F.col("n") * F.col("size") * least / F.lit(float(max(total_bytes, 1))),
-        )
-    )
+    by_bytes = F.col("n") * F.col("size") * shards / F.lit(float(max(total_bytes, 1)))
+    by_rows = F.col("n") * shards / F.lit(float(max(n, 1)))
+    parts = F.when(by_bytes > 1, F.ceil(by_bytes * PARTS_A_SHARD)).otherwise(F.lit(1))
+    deals = F.ceil(F.greatest(by_rows, by_bytes) * PARTS_A_SHARD / F.col("parts"))
     heavy = rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("parts", parts)
-    heavy = materialize(heavy.where("parts > 1 and n > 1").select(*group, "parts").coalesce(1))
-    split = rows.join(F.broadcast(heavy), group, "left").withColumn(
-        "part",
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"),
+    heavy = heavy.withColumn("deals", deals).where("n > 1 and (parts > 1 or deals > 1)")
+    heavy = materialize(heavy.select(*group, "parts", "deals").coalesce(1))
+    split = rows.join(F.broadcast(heavy), group, "left").withColumns({
+        "part": F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"),
+        "deal": F.coalesce(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("deals")), F.lit(0)).cast("int"),
+    })
+    dealt_rows = materialize(
+        split.groupBy(*_ITEM, "deal").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
     )
     items = materialize(
-        split.groupBy(*_ITEM).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
+        dealt_rows.groupBy(*_ITEM).agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens"))
     )
     measures = zip(IMPORTANCE, (F.col("size"), F.col("tokens"), F.lit(1)), total, strict=True)
     share = sum(F.col("n") * m * F.lit(w / sum(IMPORTANCE) / float(t)) for w, m, t in measures)
@@ -185,9 +194,13 @@ def vector_pack(rows: DataFrame, shards: int) -> DataFrame:
     started = placed.join(offsets, ["shard", "cell"]).select(
         *_ITEM, "shard", (F.col("offset") + F.col("start")).alias("start")
     )
-    in_part = Window.partitionBy(*_ITEM).orderBy("doc_id")
-    numbered = split.withColumn("rank", F.row_number().over(in_part) - 1)
-    return numbered.join(started, [*_ITEM]).select(
+    in_item = Window.partitionBy(*_ITEM).orderBy("deal")
+    started = dealt_rows.withColumn("before", F.sum("n").over(in_item) - F.col("n")).join(
+        started, [*_ITEM]
+    ).select(*_ITEM, "deal", "shard", (F.col("start") + F.col("before")).alias("start"))
+    in_deal = Window.partitionBy(*_ITEM, "deal").orderBy("doc_id")
+    numbered = split.withColumn("rank", F.row_number().over(in_deal) - 1)
+    return numbered.join(started, [*_ITEM, "deal"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).alias("slot")
     )
 

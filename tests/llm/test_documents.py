@@ -164,6 +164,21 @@ def test_shards_are_even_and_groups_stay_together(spark):
     assert groups.max() == 1
 
 
+def test_groups_that_fit_into_a_shard_stay_together(spark):
+    data = [(i, words(i, 40), None, None, None) for i in range(1200)]
+    total = sum(len(r[1]) + 16 for r in data) / 0.85  # the groups below are the rest, about
+    half = words(9001, 40)  # 0.5 of one of 5 shards' bytes
+    copies = round(0.1 * total / (len(half) + 16))
+    data += [(5000 + i, half, None, None, None) for i in range(copies)]
+    data += [(7000 + i, "", None, None, None) for i in range(900)]  # two shards' share of rows
+    got = sharding.shard_documents(spark.createDataFrame(data, DOCS), 5).toPandas()
+    assert got.groupby(["text_crc32", "size"]).shard.nunique().max() == 1
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.02 * sizes.min() and len(sizes) == 5
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+    assert sorted(got.doc_id) == sorted(r[0] for r in data)
+
+
 def test_no_shards_of_nothing(empty):
     assert sharding.shard_documents(empty, 4).count() == 0
 
