@@ -6,8 +6,13 @@ replaced by a surrogate of its kind: a keyed Feistel network over the entity's
 characters, each shifted inside its own class (digit, vowel or consonant of its
 script and case, hexadecimal digit), so that script, case, length and
 punctuation stay.  Card and account numbers keep whether their check digits are
-right, network addresses stay addresses, a given name is turned into another of
-its gender and script.
+right, network addresses stay addresses, a phone number keeps its country code,
+a listed given name is turned into another of its gender and script.
+
+A person is known by a title.  The words of all names that a text gives after a
+title are looked for in the whole of that text, so its mentions of them without a
+title, by full, given or last name, get the same surrogates.  A person whom a
+text never gives a title isn't found in it.
 
 A network is a permutation, so different entities of a format have different
 surrogates, and the same entity (in any punctuation, for numbers; in any case,
@@ -49,6 +54,10 @@ GIVEN_NAMES = (
 )
 
 _TITLE = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
+# A word of a name, without a possessive ending.
+_PART = r"\p{Lu}(?:[\p{L}\-]|'(?!s(?!\p{L})))+"
+# Country codes by their first digits.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # Kinds and what finds them, in order of precedence.
 KINDS = {
@@ -64,8 +73,10 @@ KINDS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)",
     "hex": r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? )+{_PART}(?: {_PART})?",
 }
+# The words of a name after its titles.
+NAMED = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? )+({_PART}(?: {_PART})?)"
 PATTERN = "|".join(KINDS.values())
 ROUNDS = 4
 ATTEMPTS = 8
@@ -162,10 +173,16 @@ def _digits(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
-    code = rf"regexp_extract({m}, r'^\+\d{{1,3}}(?=[ .\-(])', 0)"
+    def split(d: str) -> str:
+        code = f"if({m} LIKE '+%', regexp_extract({d}, {_text(_COUNTRY)}, 0), '')"
+        return _let(
+            code,
+            lambda c: f"concat({c}, {_permuted(f'substring({d}, length({c}) + 1)', key + ':phone')})",
+        )
+
+    # The country code is told from the digits alone, whatever stands between them.
     return _let(
-        code,
-        lambda c: f"concat({c}, {_let(f'substring({m}, length({c}) + 1)', lambda rest: _digits(rest, key + ':phone'))})",
+        _let(f"regexp_replace({m}, '[^0-9]', '')", split), lambda n: _refilled(m, n, "0-9")
     )
 
 
@@ -232,39 +249,38 @@ def _iban(m: str, key: str) -> str:
     return _let(f"replace({m}, ' ', '')", account)
 
 
-def _name(m: str, key: str) -> str:
-    title = r"regexp_extract(%s, r'^\S+ ', 0)" % m
+def _words(m: str, key: str) -> str:
+    """Each word of a name by its own surrogate, so that parts of a name agree with the whole."""
+    x = f"x{next(_names)}"
+    turn = f"CAST(conv(substring(sha2('{key}:given', 256), 1, 6), 16, 10) AS INT)"
+    cases = ""
+    for names in GIVEN_NAMES:
+        listed = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+        at = f"array_position({listed}, {x})"
+        step = f"(1 + {turn} % {len(names) - 1})"
+        cases += f" WHEN {at} > 0 THEN {listed}[CAST(({at} - 1 + {step}) % {len(names)} AS INT)]"
+    each = f"CASE{cases} ELSE {_permuted(x, key + ':name')} END"
+    return f"array_join(transform(split({m}, ' '), {x} -> {each}), ' ')"
 
-    def people(t: str) -> str:
-        def parts(rest: str) -> str:
-            given, last = f"substring_index({rest}, ' ', 1)", f"substring_index({rest}, ' ', -1)"
-            turn = f"CAST(conv(substring(sha2('{key}:given', 256), 1, 6), 16, 10) AS INT)"
-            cases = ""
-            for names in GIVEN_NAMES:
-                listed = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-                at = f"array_position({listed}, {given})"
-                step = f"(1 + {turn} % {len(names) - 1})"
-                cases += (
-                    f" WHEN {at} > 0 THEN {listed}[CAST(({at} - 1 + {step}) % {len(names)} AS INT)]"
-                )
-            first = f"CASE{cases} ELSE {_permuted(given, key + ':name')} END"
-            both = f"concat({first}, ' ', {_permuted(last, key + ':name')})"
-            return f"if(instr({rest}, ' ') > 0, {both}, {_permuted(rest, key + ':name')})"
 
-        return f"concat({t}, {_let(f'substring({m}, length({t}) + 1)', parts)})"
-
-    return _let(title, people)
+def _name(m: str, key: str) -> str:
+    title = f"regexp_extract({m}, {_text(rf'^(?:(?:{_TITLE})\.? )+')}, 0)"
+    return _let(
+        title,
+        lambda t: f"concat({t}, {_let(f'substring({m}, length({t}) + 1)', lambda rest: _words(rest, key))})",
+    )
 
 
 _SURROGATES = {
     "secret": _secret, "key": _key, "email": _email, "iban": _iban, "ip": _ip, "phone": _phone,
     "ssn": lambda m, key: _digits(m, key + ":ssn"), "card": _card, "hex": _hex, "name": _name,
+    "mention": _words,
 }
 
 
 def _kind_of(m: str) -> str:
     cases = " ".join(f"WHEN {m} rlike {_text(f'^(?:{p})$')} THEN '{k}'" for k, p in KINDS.items())
-    return f"CASE {cases} END"
+    return f"CASE {cases} ELSE 'mention' END"
 
 
 def surrogate_sql(entity: str, key: str) -> str:
@@ -288,10 +304,29 @@ def _possible(text: Column) -> Column:
     return out
 
 
-def entities(text: str) -> Column:
-    """All entities of a text, in order."""
+def pattern(text: str) -> Column:
+    """``PATTERN``, and the words of the names that a text gives after a title."""
+    whole = F.col(text)
+    titles = [t for t in FEMALE_TITLES + MALE_TITLES + OTHER_TITLES]
+    titled = F.lit(False)
+    for title in titles:
+        titled = titled | whole.contains(f"{title} ") | whole.contains(f"{title}. ")
+    found = F.array_distinct(
+        F.split(F.array_join(F.regexp_extract_all(whole, F.lit(NAMED), F.lit(1)), " "), " ")
+    )
+    # Longer words before those that they begin with.
+    words = F.reverse(F.array_sort(F.array_except(found, F.array(*[F.lit(t) for t in ["", *titles]]))))
+    listed = F.when(titled, F.array_join(words, "|"))
+    mention = F.concat(
+        F.lit(PATTERN + r"|(?<!\p{L})(?:"), listed, F.lit(r")(?: (?:"), listed, F.lit(r"))?(?!\p{L})")
+    )
+    return F.when(listed != "", mention).otherwise(F.lit(PATTERN))
+
+
+def entities(text: str, pattern: Column) -> Column:
+    """All entities of a text, in order; ``pattern``: what ``pattern(text)`` gives."""
     whole = F.col(text)
-    found = F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0))
+    found = F.regexp_extract_all(whole, pattern, F.lit(0))
     return F.when(_possible(whole), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -309,7 +344,8 @@ def canonical_sql(m: str) -> str:
 
 def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Surrogates that two different entities of ``docs`` have: none, or ``key`` won't do."""
-    found = docs.select(F.explode(entities(text)).alias("m")).distinct()
+    found = docs.select(F.col(text).alias("__text"), pattern(text).alias("__pattern"))
+    found = found.select(F.explode(entities("__text", F.col("__pattern"))).alias("m")).distinct()
     both = found.select(
         F.expr(canonical_sql("m")).alias("entity"),
         F.expr(canonical_sql(surrogate_sql("m", key))).alias("surrogate"),
@@ -325,9 +361,10 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             break
     else:
         raise RuntimeError("no key keeps all entities apart")
-    found = docs.withColumn("__found", entities(text))
+    found = docs.withColumn("__pattern", pattern(text))
+    found = found.withColumn("__found", entities(text, F.col("__pattern")))
     made = F.expr(f"transform(__found, m -> {surrogate_sql('m', used)})")
-    between = F.split(F.col(text), PATTERN, -1)
+    between = F.split(F.col(text), F.col("__pattern"), -1)
     # Text before each entity and its surrogate, in turn; the text after the last.
     pairs = F.zip_with(
         between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)

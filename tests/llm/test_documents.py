@@ -275,6 +275,38 @@ def test_one_entity_has_one_surrogate(surrogates):
     assert [surrogates[i].n_entities for i in (50, 51, 52, 53)] == [3, 0, 0, 0]
 
 
+def test_later_mentions_have_the_same_surrogates(spark):
+    text = (
+        "Frau Anna Schmidt came. Anna Schmidt spoke; Schmidt's book, Anna, Frau Schmidt. Annabel stays. "
+        "Herr Dr. Odo O'Neil-Weber left, Odo O'Neil-Weber. г-н Иван Петров, Петров. Mr Brown's hat, Brown."
+    )
+    data = [(1, text, None, None, None), (2, "Schmidt and Odo, without a title.", None, None, None)]
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(data, DOCS), "k").collect()}
+    new = out[1]
+    assert not any(n in new for n in ("Anna ", "Anna,", "Schmidt", "Odo", "Neil", "Weber", "Иван", "Петров", "Brown"))
+    first, last = new.split()[1], new.split()[2]
+    assert new.startswith(
+        f"Frau {first} {last} came. {first} {last} spoke; {last}'s book, {first}, Frau {last}. Annabel stays. Herr Dr. "
+    )
+    rest = new.split("Herr Dr. ")[1]
+    given, other = rest.split()[:2]
+    assert rest.startswith(f"{given} {other} left, {given} {other}. г-н ")
+    russian = rest.split("г-н ")[1]
+    assert russian.split(",")[0].split()[1] == russian.split(",")[1].split(".")[0].strip()
+    brown = new.split("Mr ")[1]
+    assert brown == f"{brown.split(chr(39))[0]}'s hat, {brown.split(chr(39))[0]}."
+    assert out[2] == data[1][1]
+
+
+def test_numbers_spelt_in_other_ways_have_one_surrogate(spark):
+    spelt = ["+12125550000", "+1 212 555-0000", "+1 (212) 555 0000", "+49 30 1234567", "+49301234567"]
+    data = [(i, f"call {p} now", None, None, None) for i, p in enumerate(spelt)]
+    out = {r.doc_id: r.text for r in pii.replace_pii(spark.createDataFrame(data, DOCS), "k").collect()}
+    digits = ["".join(c for c in out[i] if c.isdigit()) for i in range(5)]
+    assert len(set(digits[:3])) == 1 and digits[3] == digits[4]
+    assert digits[0].startswith("1") and digits[3].startswith("49") and digits[0] != "12125550000"
+
+
 def test_surrogates_stay_distinct(spark):
     data = [(i, f"a{i}@b.example.com 10.0.{i // 250}.{i % 250} +1 (212) 555-{i:04d}", None, None, None) for i in range(1500)]
     out = pii.replace_pii(spark.createDataFrame(data, DOCS), "k").collect()
