@@ -221,9 +221,11 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, class_id``: the smallest id that verified links lead to.
 
-    Rows that share a band meet the band's smallest id and the id before their
-    own, never all others, so the candidates are as many as rows and bands.
-    Rows without a doc_id or without words take no part.
+    Rows that share a band meet the band's smallest id first, so a group of near
+    copies costs as many comparisons as it has members and bands.  Then those of a
+    band that are still in different components all meet, as far as their sizes
+    allow a link.  So no link of two rows that share a band is lost.  Rows without
+    a doc_id or without words take no part.
     """
     from quarry.llm.components import connected_components
 
@@ -236,16 +238,48 @@ def near_duplicates(
     banded = firsts.select("first", F.posexplode("s.bands").alias("band", "key"))
     by_band = banded.groupBy("band", "key").agg(F.min("first").alias("least"), F.count("*").alias("n"))
     star = banded.join(by_band.where("n > 1"), ["band", "key"]).select("first", F.col("least").alias("other"))
-    pairs = star.where("first != other").distinct()
     a = firsts.select("first", F.col("s.shingles").alias("x"))
     b = firsts.select(F.col("first").alias("other"), F.col("s.shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    links = (
-        pairs.join(a, "first").join(b, "other")
-        .where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared))
-        .select(F.col("first").alias("a"), F.col("other").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialize(
+            pairs.join(a, "first").join(b, "other")
+            .where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared))
+            .select(F.col("first").alias("a"), F.col("other").alias("b"))
+        )
+
+    links = verified(star.where("first != other").distinct())
+    # Then all pairs of a band that are in different components.
+    own = connected_components(links).select(F.col("node").alias("first"), "component")
+    sizes = firsts.select("first", F.size("s.shingles").alias("size"))
+    lists = materialize(
+        banded.join(by_band.where("n > 1").select("band", "key"), ["band", "key"])
+        .join(own, "first", "left")
+        .join(sizes, "first")
+        .select("band", "key", "first", "size", F.coalesce("component", "first").alias("component"))
+    )
+    mixed = lists.groupBy("band", "key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    lists = materialize(
+        lists.join(mixed.where("lo != hi").select("band", "key"), ["band", "key"], "left_semi")
+    )
+    others = lists.select(
+        "band", "key", F.col("first").alias("other"), F.col("size").alias("size2"),
+        F.col("component").alias("component2"),
+    )
+    rest = (
+        lists.join(others, ["band", "key"])
+        .where(
+            (F.col("other") < F.col("first"))
+            & (F.col("component") != F.col("component2"))
+            & (F.least("size", "size2") >= F.lit(similarity) * F.greatest("size", "size2"))
+        )
+        .select("first", "other")
+        .distinct()
     )
-    label = connected_components(links)
+    label = connected_components(links.unionByName(verified(rest)))
     members = known.where(F.size("shingles") > 0).select(
         "doc_id", F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2")
     )

@@ -71,6 +71,17 @@ def test_near_duplicates_by_bands(docs):
     assert got[4] == 4 and 5 not in got and 6 not in got
 
 
+def test_near_duplicates_behind_other_heads_of_their_bands(spark):
+    # Every band of the two near copies is headed by a text that is like neither.
+    base = words(21, 120)
+    data = [(i, edited(base, 5, 900 + i), None, None, None) for i in range(80)]
+    data += [(200, base, None, None, None), (201, edited(base, 1, 7), None, None, None)]
+    want = {d: c for d, (_, c) in brute_components(data, 5, 80).items()}
+    assert want[201] == 200
+    got = {r.doc_id: r.class_id for r in fingerprints.near_duplicates(spark.createDataFrame(data, DOCS)).collect()}
+    assert got == want
+
+
 def test_signature_likeness_estimates_jaccard():
     import pyarrow as pa
 
