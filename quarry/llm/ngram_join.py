@@ -27,7 +27,8 @@ Shingles are 64-bit hashes; similarity is computed from whole sets of them.
 
 Defined results: texts without words (null, empty, white space) have no
 shingles and are their own component; a text of fewer words than a shingle is
-one shingle; repeated rows are one class; rows without a doc_id get their
+one shingle; repeated rows are one class, and rows of one doc_id with different
+texts are classes of their own, of which two can have the same label; rows without a doc_id get their
 number of shingles and no component; an empty table gives no rows.  Only
 ``doc_id`` and ``text`` are read.
 """
@@ -158,35 +159,42 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame, classes: DataFrame, rows: DataFrame, p: dict) -> DataFrame:
-    """``rep, n, s``: class representatives that may link, with their whole sets."""
+    """``rep, n, s``: classes that may link, with their whole sets.
+
+    ``rep`` is the class's smallest doc_id and its set's hash, since one doc_id can
+    be the smallest of several classes.
+    """
     need = F.greatest(F.lit(1), F.floor(overlap(F.col("n"), p["percent"]) / REDUCE))
     kept = (
-        classes.join(shared_tokens(rows), "k").where(F.col("shared") >= need).select("rep")
+        classes.join(shared_tokens(rows), "k").where(F.col("shared") >= need).select("rep", "k")
     )
     kept = materialize(kept)
     if kept.count() <= SENT_IDS:
         kept = F.broadcast(kept)
     wanted = docs.select(
         F.col(p["doc_id"]).alias("rep"), F.col(p["text"]).alias("text")
-    ).join(kept, "rep", "left_semi")
+    ).join(kept.select("rep"), "rep", "left_semi")
     kind = docs.schema[p["doc_id"]].dataType.simpleString()
     fold = LOWER if p["lower"] else AS_IS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, sets in _sets(batch.column(1), p["width"], fold):
+                k = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
+                        _signed(k),
                         pa.ListArray.from_arrays(pa.array(lengths), _signed(np.concatenate(sets))),
                     ],
-                    names=["rep", "s"],
+                    names=["rep", "k", "s"],
                 )
 
-    found = wanted.mapInArrow(run, f"rep {kind}, s array<bigint>")
-    # Rows that repeat a doc_id with another text: the set of the class is its own.
-    return found.dropDuplicates(["rep"]).select("rep", F.size("s").cast("bigint").alias("n"), "s")
+    found = wanted.mapInArrow(run, f"rep {kind}, k bigint, s array<bigint>")
+    # Other texts of a doc_id aren't the class's; rows that repeat one are.
+    found = found.join(kept, ["rep", "k"], "left_semi").dropDuplicates(["rep", "k"])
+    return found.select(F.struct("rep", "k").alias("rep"), F.size("s").cast("bigint").alias("n"), "s")
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -280,9 +288,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     known = materialize(prefixes(sets, percent))
     lists = known.select("rep", "n", "m", F.posexplode("prefix").alias("at", "t"))
     # With one set of each list: that which has most in common with others.
-    pick = F.struct(
-        (F.col("m") / F.col("n")).alias("part"), (-F.col("rep")).alias("low"), "rep", "n", "m", "at"
-    )
+    pick = F.struct((F.col("m") / F.col("n")).alias("part"), "rep", "n", "m", "at")
     pivots = lists.groupBy("t").agg(F.max(pick).alias("p"), F.count("*").alias("many"))
     pivots = pivots.where("many > 1").select("t", "p.rep", "p.n", "p.m", "p.at")
     pair = (F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
@@ -340,9 +346,11 @@ def ngram_components(
     sets = materialize(survivors(docs, classes, rows, p))
     found = connected_components(links(sets, percent))
     labelled = materialize(
-        classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-            "k", "k2", "n", F.coalesce("component", "rep").alias("component")
-        )
+        classes.join(
+            found.select("node.rep", "node.k", F.col("component.rep").alias("component")),
+            ["rep", "k"],
+            "left",
+        ).select("k", "k2", "n", F.coalesce("component", "rep").alias("component"))
     )
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (

@@ -232,6 +232,14 @@ def test_components_equal_brute_force(spark, width, percent):
     assert len(null) == 2 and all(r.component_id is None for r in null)
 
 
+def test_all_texts_of_one_doc_id_link(spark):
+    texts = [words(800 + i, 90) for i in range(4)]
+    data = [(1, t, None, None, None) for t in texts]
+    data += [(10 + i, edited(t, 1, i), None, None, None) for i, t in enumerate(texts)]
+    found = ngram_join.ngram_components(table(spark, data)).collect()
+    assert len(found) == 8 and all(r.component_id == 1 for r in found)
+
+
 def test_components_of_nothing(empty):
     assert ngram_join.ngram_components(empty).count() == 0
 
