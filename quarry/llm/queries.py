@@ -13,6 +13,7 @@ from quarry.llm import (
     ngram_join,
     packing,
     pages,
+    pieces,
     pii,
     quality,
     sharding,
@@ -114,6 +115,23 @@ def op8_best_fit_packing(
     return packing.pack_documents(table(spark, sf_dir, "documents"), ranks or ranks_file())
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    model = model or piece_model()
+    coded = pieces.encode(table(spark, sf_dir, "documents"), model)
+    return pieces.decode(coded, model).select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -125,6 +143,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
