@@ -27,6 +27,12 @@ WORD_BASE = 0x100000001B3
 # Bytes of text that one numpy step works on.
 CHUNK_BYTES = 4 << 20
 
+# Bytes of a word that one polynomial covers.
+WORD_BLOCK = 1 << 16
+
+# Folders of the tables that ``materialize`` wrote, by application.
+_written: dict[str, set[str]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path may be in any store that Spark reads."""
@@ -56,7 +62,37 @@ def materialize(df: DataFrame, *sort_within: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and reread it."""
     path = work_dir(df.sparkSession)
     (df.sortWithinPartitions(*sort_within) if sort_within else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
+    out._quarry_table = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that no further step reads."""
+    for df in tables:
+        path = getattr(df, "_quarry_table", None)
+        if path is not None:
+            _written.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
+            _remove(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Remove all tables that this session's queries wrote; how many they were.
+
+    A query's result reads some of its tables, so this is for when all results
+    have been written or collected.
+    """
+    written = _written.pop(spark.sparkContext.applicationId, set())
+    for path in written:
+        _remove(spark, path)
+    return len(written)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -119,7 +155,11 @@ AS_IS = np.arange(256, dtype=np.uint8)
 def word_hashes(
     data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = AS_IS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts, and words per text."""
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts, and words per text.
+
+    A word's bytes are a polynomial; one longer than ``WORD_BLOCK`` is the sum of its
+    blocks' polynomials, each mixed with its block's number, so that order counts.
+    """
     rows = len(offsets) - 1
     if len(data) == 0:
         return np.empty(0, np.uint64), np.zeros(rows, np.int64)
@@ -140,13 +180,16 @@ def word_hashes(
     lengths = np.flatnonzero(inside & after) - starts + 1
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    longest = min(int(lengths.max()), 1 << 16)
+    longest = min(int(lengths.max()), WORD_BLOCK)
     powers = np.cumprod(np.full(longest, WORD_BASE, dtype=np.uint64))
     value = fold[data[inside]].astype(np.uint64) + np.uint64(1)
-    if int(lengths.max()) > longest:
-        value += (place >> 16).astype(np.uint64) * np.uint64(GOLDEN)
-        place = place & 0xFFFF
-    value *= powers[place]
+    value *= powers[place % WORD_BLOCK]
+    if int(lengths.max()) > WORD_BLOCK:
+        block = np.flatnonzero(place % WORD_BLOCK == 0)
+        number = (place[block] // WORD_BLOCK).astype(np.uint64)
+        value = np.add.reduceat(value, block)
+        value = np.where(number == 0, value, mix(value + number * np.uint64(GOLDEN)))
+        first = np.searchsorted(block, first)
     words = mix(np.add.reduceat(value, first) + lengths.astype(np.uint64) * np.uint64(GOLDEN))
     per_text = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
     return words, per_text.astype(np.int64)
