@@ -17,6 +17,7 @@ from quarry.llm import (
     pii,
     quality,
     sharding,
+    trie,
 )
 from quarry.llm.common import materialize, table
 
@@ -132,6 +133,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality_classifier": op2_quality_classifier,
@@ -144,6 +149,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
     "op11_sentencepiece": op11_sentencepiece,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
