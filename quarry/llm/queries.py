@@ -16,6 +16,7 @@ from quarry.llm import (
     pieces,
     pii,
     quality,
+    ranked,
     sharding,
     trie,
 )
@@ -133,6 +134,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -149,9 +154,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_ranked_search": op12_ranked_search,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_mixing": mixing.mix_sql(MIX_WEIGHTS, columns="doc_id, text, lang, source, n_chars, "),
+    "op12_ranked_search": ranked.ranked_sql(20),
 }
