@@ -9,10 +9,15 @@ punctuation stay.  Card and account numbers keep whether their check digits are
 right, network addresses stay addresses, a phone number keeps its country code,
 a listed given name is turned into another of its gender and script.
 
-A person is known by a title.  The words of all names that a text gives after a
-title are looked for in the whole of that text, so its mentions of them without a
-title, by full, given or last name, get the same surrogates.  A person whom a
-text never gives a title isn't found in it.
+A person is known by a title, or by a listed given name before another name.  The
+words of all such names of a text are looked for in the whole of it, so its other
+mentions, by full, given or last name, get the same surrogates.  A person whom a
+text gives neither a title nor a listed given name isn't found in it.
+
+No repeat of a group is matched by recursion, which would end the executor on
+a long run: they are possessive, or of one class of characters.  What begins
+like a secret but is none (letters alone, not behind the word password) is
+matched too, so that a long run is read once, and stays as it is.
 
 A network is a permutation, so different entities of a format have different
 surrogates, and the same entity (in any punctuation, for numbers; in any case,
@@ -21,7 +26,9 @@ to the texts.  ``collisions`` checks that on the distinct entities of the whole
 input, and ``replace_pii`` takes the next key if any two met.
 
 Defined results: a null text stays null, a text without entities stays as it
-is; repeated rows are treated alike; an empty table gives no rows.  All columns
+is; an entity of any length is replaced whole; two dots in a mail address's domain
+don't end it; an IPv6 address keeps its groups, so its short and its full spelling
+are two entities; repeated rows are treated alike; an empty table gives no rows.  All columns
 pass through; ``n_entities`` replaces an input column of that name.
 """
 
@@ -54,29 +61,41 @@ GIVEN_NAMES = (
 )
 
 _TITLE = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
+_GIVEN = "|".join(itertools.chain.from_iterable(GIVEN_NAMES))
 # A word of a name, without a possessive ending.
-_PART = r"\p{Lu}(?:[\p{L}\-]|'(?!s(?!\p{L})))+"
+_PART = r"\p{Lu}(?:[\p{L}\-]|'(?!s(?!\p{L})))++"
+# What a name is known by: titles, or a listed given name and another name.
+# (A run of titles is read from its first alone.)
+_KNOWN = (
+    rf"(?<!\p{{L}})(?:(?<!(?:{_TITLE})\.? )(?:(?:{_TITLE})\.? )++|(?=(?:{_GIVEN}) \p{{Lu}}\p{{L}}))"
+)
+# A secret's value, and what it begins with if it needs no digit.
+_VALUE = r"[A-Za-z0-9+/_.=\-]"
+_PASSWORD = r"(?i)^(?:password|passwd|pwd)"
 # Country codes by their first digits.
 _COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # Kinds and what finds them, in order of precedence.
 KINDS = {
     "secret": r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\s{0,3}[:=]\s{0,3}"
-    r"[\"']?(?=[^\s\"']{0,200}\d)[A-Za-z0-9+/_.=\-]{8,}",
-    "key": r"(?<![A-Za-z0-9])(?=[A-Za-z0-9_\-]{0,200}\d)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}"
-    r"|xox[abprs]-[A-Za-z0-9\-]{10,})",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
+    rf"[\"']?{_VALUE}{{8,}}+(?!@)",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+"
+    r"|xox[abprs]-[A-Za-z0-9\-]{10,}+)",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@"
+    r"[\p{L}\p{N}\-][\p{L}\p{N}\-.]*(?<!\.)\.\p{L}\p{L}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[a-fA-F:]*+\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}"
+    r"|(?=[0-9a-fA-F:]{0,37}::)(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4})(?![\p{L}\p{N}:])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<!\d)\(\d{3}\) ?\d{3}[.\-]\d{4}(?!\d)|(?<!\d)\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\d.])\d(?:[ \-]?\d){12,18}(?!\d)",
     "hex": r"(?<![\p{L}\p{N}])(?=[a-fA-F]*\d)[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? )+{_PART}(?: {_PART})?",
+    "name": rf"{_KNOWN}{_PART}(?: {_PART})?",
 }
 # The words of a name after its titles.
-NAMED = rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? )+({_PART}(?: {_PART})?)"
+NAMED = rf"{_KNOWN}({_PART}(?: {_PART})?)"
 PATTERN = "|".join(KINDS.values())
 ROUNDS = 4
 ATTEMPTS = 8
@@ -97,19 +116,15 @@ def _let(value: str, body) -> str:
 
 def _shift(x: str, digest: str, classes: tuple[str, ...]) -> str:
     """Each character of ``x`` moved inside its class by two digits of ``digest``."""
-    i = f"i{next(_names)}"
-
-    def moved(c: str) -> str:
-        step = f"CAST(conv(substring({digest}, 1 + 2 * ((CAST({i} AS INT) - 1) % 32), 2), 16, 10) AS INT)"
-        listed = "array(" + ", ".join(f"'{k}'" for k in classes) + ")"
-        own = f"filter({listed}, k -> instr(k, {c}) > 0)[0]"
-        turned = lambda k: (
-            f"if({k} IS NULL, {c}, substring({k}, 1 + (instr({k}, {c}) - 1 + {step}) % length({k}), 1))"
-        )
-        return _let(f"get({own[:-3]}, 0)", turned)
-
-    each = _let(f"substring({x}, {i}, 1)", moved)
-    return f"if(length({x}) = 0, '', array_join(transform(sequence(1, greatest(length({x}), 1)), {i} -> {each}), ''))"
+    c, i = f"c{next(_names)}", f"i{next(_names)}"
+    step = f"CAST(conv(substring({digest}, 1 + 2 * ({i} % 32), 2), 16, 10) AS INT)"
+    listed = "array(" + ", ".join(f"'{k}'" for k in classes) + ")"
+    own = f"get(filter({listed}, k -> instr(k, {c}) > 0), 0)"
+    turned = _let(
+        own,
+        lambda k: f"if({k} IS NULL, {c}, substring({k}, 1 + (instr({k}, {c}) - 1 + {step}) % length({k}), 1))",
+    )
+    return f"if(length({x}) = 0, '', array_join(transform(split({x}, ''), ({c}, {i}) -> {turned}), ''))"
 
 
 def _permuted(x: str, key: str, classes: tuple[str, ...] = CLASSES) -> str:
@@ -264,7 +279,7 @@ def _words(m: str, key: str) -> str:
 
 
 def _name(m: str, key: str) -> str:
-    title = f"regexp_extract({m}, {_text(rf'^(?:(?:{_TITLE})\.? )+')}, 0)"
+    title = f"regexp_extract({m}, {_text(rf'^(?:(?:{_TITLE})\.? )++')}, 0)"
     return _let(
         title,
         lambda t: f"concat({t}, {_let(f'substring({m}, length({t}) + 1)', lambda rest: _words(rest, key))})",
@@ -273,14 +288,20 @@ def _name(m: str, key: str) -> str:
 
 _SURROGATES = {
     "secret": _secret, "key": _key, "email": _email, "iban": _iban, "ip": _ip, "phone": _phone,
-    "ssn": lambda m, key: _digits(m, key + ":ssn"), "card": _card, "hex": _hex, "name": _name,
+    "ip6": lambda m, key: _hex(m, key + ":ip6"), "ssn": lambda m, key: _digits(m, key + ":ssn"), "card": _card, "hex": _hex, "name": _name,
     "mention": _words,
 }
 
 
 def _kind_of(m: str) -> str:
     cases = " ".join(f"WHEN {m} rlike {_text(f'^(?:{p})$')} THEN '{k}'" for k, p in KINDS.items())
-    return f"CASE {cases} ELSE 'mention' END"
+    return f"CASE WHEN {_none(m)} THEN 'none' {cases} ELSE 'mention' END"
+
+
+def _none(m: str) -> str:
+    """Whether ``m`` only begins like a secret: it is letters alone, and no password."""
+    secret = _text(f"^(?:{KINDS['secret']})$")
+    return f"({m} rlike {secret} AND NOT {m} rlike '[0-9]' AND NOT {m} rlike '{_PASSWORD}')"
 
 
 def surrogate_sql(entity: str, key: str) -> str:
@@ -294,29 +315,37 @@ def surrogate_sql(entity: str, key: str) -> str:
 
 
 def _possible(text: Column) -> Column:
-    """What every text with an entity has: a digit, an @, or a title before a blank.
+    """What every text with an entity has: a digit, an @, a word that a secret or a key
+    begins with, or what a name is known by.
 
     Most texts have none of these, and so don't meet ``PATTERN`` at all.
     """
-    out = text.rlike("[0-9@]")
+    out = text.rlike("[0-9@]") | _person(text)
+    for word in ("passw", "pwd"):
+        out = out | F.lower(text).contains(word)
+    return out | text.rlike("gh[pousr]_|sk-|xox[abprs]-|AKIA")
+
+
+def _person(text: Column) -> Column:
+    """Whether a text has a title or a listed given name before a blank."""
+    out = F.lit(False)
     for title in FEMALE_TITLES + MALE_TITLES + OTHER_TITLES:
         out = out | text.contains(f"{title} ") | text.contains(f"{title}. ")
+    for name in itertools.chain.from_iterable(GIVEN_NAMES):
+        out = out | text.contains(f"{name} ")
     return out
 
 
 def pattern(text: str) -> Column:
-    """``PATTERN``, and the words of the names that a text gives after a title."""
+    """``PATTERN``, and the words of the names that a text has."""
     whole = F.col(text)
     titles = [t for t in FEMALE_TITLES + MALE_TITLES + OTHER_TITLES]
-    titled = F.lit(False)
-    for title in titles:
-        titled = titled | whole.contains(f"{title} ") | whole.contains(f"{title}. ")
     found = F.array_distinct(
         F.split(F.array_join(F.regexp_extract_all(whole, F.lit(NAMED), F.lit(1)), " "), " ")
     )
     # Longer words before those that they begin with.
     words = F.reverse(F.array_sort(F.array_except(found, F.array(*[F.lit(t) for t in ["", *titles]]))))
-    listed = F.when(titled, F.array_join(words, "|"))
+    listed = F.when(_person(whole), F.array_join(words, "|"))
     mention = F.concat(
         F.lit(PATTERN + r"|(?<!\p{L})(?:"), listed, F.lit(r")(?: (?:"), listed, F.lit(r"))?(?!\p{L})")
     )
@@ -324,7 +353,7 @@ def pattern(text: str) -> Column:
 
 
 def entities(text: str, pattern: Column) -> Column:
-    """All entities of a text, in order; ``pattern``: what ``pattern(text)`` gives."""
+    """All matches of a text, in order; ``pattern``: what ``pattern(text)`` gives."""
     whole = F.col(text)
     found = F.regexp_extract_all(whole, pattern, F.lit(0))
     return F.when(_possible(whole), found).otherwise(F.array().cast("array<string>"))
@@ -335,7 +364,7 @@ def canonical_sql(m: str) -> str:
 
     def spelt(v: str, k: str) -> str:
         return (
-            f"concat({k}, ':', CASE WHEN {k} IN ('email', 'hex') THEN lower({v}) "
+            f"concat({k}, ':', CASE WHEN {k} IN ('email', 'hex', 'ip6') THEN lower({v}) "
             f"WHEN {k} IN ('card', 'phone', 'iban') THEN regexp_replace({v}, '[^0-9A-Z+]', '') ELSE {v} END)"
         )
 
@@ -345,7 +374,8 @@ def canonical_sql(m: str) -> str:
 def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Surrogates that two different entities of ``docs`` have: none, or ``key`` won't do."""
     found = docs.select(F.col(text).alias("__text"), pattern(text).alias("__pattern"))
-    found = found.select(F.explode(entities("__text", F.col("__pattern"))).alias("m")).distinct()
+    found = found.select(F.explode(entities("__text", F.col("__pattern"))).alias("m"))
+    found = found.where(f"NOT {_none('m')}").distinct()
     both = found.select(
         F.expr(canonical_sql("m")).alias("entity"),
         F.expr(canonical_sql(surrogate_sql("m", key))).alias("surrogate"),
@@ -372,5 +402,6 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     new = F.when(F.size("__found") > 0, F.array_join(pairs, "")).otherwise(F.col(text))
     names = [f"`{c}`" for c in docs.columns if c not in (text, "n_entities")]
     order = [f"`{c}`" for c in docs.columns if c != "n_entities"]
-    count = F.greatest(F.size("__found"), F.lit(0)).alias("n_entities")
+    some = F.expr(f"size(filter(__found, m -> NOT {_none('m')}))")
+    count = F.greatest(some, F.lit(0)).alias("n_entities")
     return found.select(*names, new.alias(text), count).select(*order, "n_entities")
