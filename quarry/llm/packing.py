@@ -9,7 +9,8 @@ is one task's work at any input size.  Inside a block the longer pieces go
 longest first and the short ones (``capacity / SHORT``) after them in hash order:
 in falling order alone their equal lengths leave gaps that nothing fills.
 
-Defined results: a null text counts as empty and is one end token long;
+Defined results: a null text counts as empty and is one end token long; texts and
+runs of white space may be of any length;
 repeated rows are packed as often as they occur; a null doc_id is kept; an
 empty table gives no pieces.  ``token_pieces`` reads ``doc_id`` and ``text``
 alone, whatever other columns there are.
@@ -45,6 +46,9 @@ SHORT = 10
 BLOCK_PIECES = 100_000
 
 _SPACES = re.compile(r"\s\s")
+# White space as the pattern's ``\s`` knows it; a run of so many characters is cut out.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 10_000
 
 
 class Encoder:
@@ -52,7 +56,9 @@ class Encoder:
 
     The pattern's look-ahead matters only where two white-space characters
     meet; other texts take the pattern without it, which is matched in linear
-    time.  The ids are the same.
+    time.  A long run of white space, which the matcher can't take back, is encoded
+    apart: what the pattern finds in it is the run without its last character if a
+    word follows, and the whole run at a text's end.  The ids are the same.
     """
 
     def __init__(self, ranks_file: str):
@@ -67,8 +73,25 @@ class Encoder:
         self._plain = tiktoken.Encoding(
             "plain", pat_str=plain, mergeable_ranks=ranks, special_tokens=SPECIAL
         )
+        self._one = tiktoken.Encoding(
+            "one", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens=SPECIAL
+        )
 
     def encode(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self._part(text)
+        ids, first = [], 0
+        for run in _BLANKS.finditer(text):
+            # A special token between ends the text for the pattern.
+            ends = run.end() == len(text) or any(text.startswith(s, run.end()) for s in SPECIAL)
+            last = run.end() if ends else run.end() - 1
+            if last - run.start() >= LONG_RUN:
+                ids += self._part(text[first : run.start()])
+                ids += self._one.encode_ordinary(text[run.start() : last])
+                first = last
+        return ids + self._part(text[first:])
+
+    def _part(self, text: str) -> list[int]:
         if any(s in text for s in SPECIAL):
             return self._full.encode(text, allowed_special="all")
         return (self._full if _SPACES.search(text) else self._plain).encode_ordinary(text)
