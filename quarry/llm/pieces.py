@@ -2,12 +2,17 @@
 
 Where no piece of a model has a white-space marker behind another character, no
 piece crosses from one marked word to the next, so a text's ids are the ids of
-its marked words in turn.  ``encode`` writes each text as numbers into the list
-of distinct chunks (a run of markers and the characters up to the next) of its
-block, a few megabytes of texts.  The blocks' lists, not the texts, are shuffled
-by chunk, and the library segments each distinct chunk once in the whole input.
-The ids return to the blocks and take their places by position.  ``decode``
-gives the library's text of ids.
+its marked words in turn.  ``encode`` writes texts, some megabytes of them a
+block, as numbers into the block's list of distinct chunks (a run of markers and
+the characters up to the next).  The lists are dealt by a hash of the chunk into
+buckets, where equal chunks of all blocks meet and the library segments each
+once.  The ids return to the blocks and take their places by position.  What is
+shuffled are packed lists, numbers and ids, never the texts.  ``decode`` gives the
+library's text of ids.
+
+``docs`` is read twice, for the lists and for the numbers, and must give the same
+rows in the same partitions (as files do); a block is named by a digest of its
+place and its list, so other rows raise instead of giving other ids.
 
 A model whose pieces can cross markers, or that changes texts before it cuts
 them, has each whole text as its one chunk; the ids are the same.
@@ -21,7 +26,9 @@ other columns there are.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +37,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import shuffle_partitions
 
 MARK = "▁"  # what the library writes for a blank
 # What an unchanged text looks like: a compatibility letter, a combining mark,
 # repeated, leading and trailing blanks.
 PROBE = " ﬁ é  Ａ\t\n "
 
-# Characters of text that share a list of distinct chunks.
+# Characters of text that share a list of distinct chunks, and that have a bucket
+# for theirs.
 BLOCK_CHARS = 8 << 20
+BUCKET_CHARS = 8 << 20
 
 _WORDS = re.compile(r" +[^ ]*")
 
@@ -77,6 +86,9 @@ class Model:
         alone = [self.library.piece_to_id(MARK)] if self.by_words else []
         return [ids if chunk else alone for chunk, ids in zip(chunks, found)]
 
+    def text(self, ids: bytes) -> str:
+        return self.library.decode(np.frombuffer(ids, dtype="<u4").tolist())
+
 
 class _Numbers(dict):
     """Numbers of distinct keys, in order of their first use."""
@@ -86,88 +98,139 @@ class _Numbers(dict):
         return number
 
 
-def _in_numbers(docs: DataFrame, model_file: str, block_chars: int) -> DataFrame:
-    """``block, doc_id, numbers, wide`` of each text, and ``block, chunks`` of each block."""
-    kind = docs.schema["doc_id"].dataType
-    schema = (
-        f"block bigint, doc_id {kind.simpleString()}, numbers binary, wide boolean, "
-        "chunks array<string>"
-    )
+def pack(numbers) -> bytes:
+    """32-bit numbers, their bytes of one rank together, compressed."""
+    import zstandard
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(model_file)
-        block = TaskContext.get().partitionId() << 32
-        numbers, used = _Numbers(), 0
-        names = ["block", "doc_id", "numbers", "wide", "chunks"]
-        lists = pa.list_(pa.string())
+    planes = np.asarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _blocks(
+    batches: Iterator[pa.RecordBatch], model_file: str, block_chars: int
+) -> Iterator[tuple[bytes, pa.Array, list[np.ndarray], list[str]]]:
+    """``(name, doc_ids, numbers of each text, distinct chunks)`` of each block of a partition."""
+    model = Model(model_file)
+    place = TaskContext.get().partitionId() << 32
+    ids, coded, numbers, used = [], [], _Numbers(), 0
 
-        def listed(id_type: pa.DataType) -> pa.RecordBatch:
+    def block():
+        name = hashlib.sha256(str(place).encode())
+        for chunk in numbers:
+            name.update(b"%d:" % len(chunk) + chunk.encode())
+        return name.digest()[:16], pa.concat_arrays(ids), coded, list(numbers)
+
+    for batch in batches:
+        first = 0
+        while first < batch.num_rows:
+            last = first
+            while last < batch.num_rows and used < block_chars:
+                text = batch.column(1)[last].as_py() or ""
+                coded.append(
+                    np.array([*map(numbers.__getitem__, model.chunks(text))], dtype=np.uint32)
+                )
+                used += len(text) + 1
+                last += 1
+            ids.append(batch.column(0).slice(first, last - first))
+            first = last
+            if used >= block_chars:
+                yield block()
+                place += 1
+                ids, coded, numbers, used = [], [], _Numbers(), 0
+    if coded:
+        yield block()
+
+
+def _numbers(docs: DataFrame, model_file: str, block_chars: int) -> DataFrame:
+    """A row for each block: its documents, and their texts as numbers of chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "doc_ids", "counts", "numbers", "n_chunks"]
+        for name, ids, coded, chunks in _blocks(batches, model_file, block_chars):
             row = [
-                pa.array([block], pa.int64()),
-                pa.nulls(1, id_type),
-                pa.nulls(1, pa.binary()),
-                pa.nulls(1, pa.bool_()),
-                pa.array([list(numbers)], lists),
+                pa.array([name], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                pa.array([pack([len(c) for c in coded])], pa.binary()),
+                pa.array([pack(np.concatenate(coded))], pa.binary()),
+                pa.array([len(chunks)], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(row, names=names)
+            yield pa.RecordBatch.from_arrays(row, names=names)
 
-        id_type = None
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            id_type = ids.type
-            first = 0
-            while first < batch.num_rows:
-                last, coded, wide = first, [], []
-                while last < batch.num_rows and used < block_chars:
-                    text = texts[last].as_py() or ""
-                    codes = np.array(
-                        [*map(numbers.__getitem__, model.chunks(text))], dtype=np.uint32
-                    )
-                    wide.append(bool(len(codes)) and int(codes.max()) > 0xFFFF)
-                    coded.append(codes.astype("<u4" if wide[-1] else "<u2").tobytes())
-                    used += len(text) + 1
-                    last += 1
-                rows = last - first
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(
+        run, f"block binary, doc_ids array<{kind}>, counts binary, numbers binary, n_chunks bigint"
+    )
+
+
+def _lists(docs: DataFrame, model_file: str, block_chars: int, buckets: int) -> DataFrame:
+    """The blocks' distinct chunks, a row for each block and bucket.
+
+    ``places`` are the chunks' numbers, ascending, as steps; ``ends`` where each ends in
+    ``chunks``, in steps as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        names = ["bucket", "block", "places", "ends", "chunks"]
+        for name, _, _, chunks in _blocks(batches, model_file, block_chars):
+            raw = [chunk.encode() for chunk in chunks]
+            bucket = np.array([*map(zlib.crc32, raw)], dtype=np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for a, b in zip(edges, edges[1:]):
+                at = order[a:b]
+                own = [raw[i] for i in at]
                 row = [
-                    pa.array(np.full(rows, block, dtype=np.int64)),
-                    ids.slice(first, rows),
-                    pa.array(coded, pa.binary()),
-                    pa.array(wide, pa.bool_()),
-                    pa.nulls(rows, lists),
+                    pa.array([bucket[at[0]]], pa.int64()),
+                    pa.array([name], pa.binary()),
+                    pa.array([pack(np.diff(at, prepend=0))], pa.binary()),
+                    pa.array([pack([*map(len, own)])], pa.binary()),
+                    pa.array([zstandard.compress(b"".join(own), 1)], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(row, names=names)
-                if used >= block_chars:
-                    yield listed(id_type)
-                    block, numbers, used = block + 1, _Numbers(), 0
-                first = last
-        if used:
-            yield listed(id_type)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.mapInArrow(
+        run, "bucket bigint, block binary, places binary, ends binary, chunks binary"
+    )
 
 
-def _segmented(chunks: DataFrame, model_file: str) -> DataFrame:
-    """``block, number, ids`` of ``block, number, chunk``: equal chunks meet and are cut once."""
+def _segmented(lists: DataFrame, model_file: str, buckets: int) -> DataFrame:
+    """``block, places, counts, ids`` of ``lists``: a bucket's equal chunks are segmented once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         model = Model(model_file)
-        known, its_ids = None, b""
+        bucket, known = None, {}
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fresh = [t for a, t in zip([known, *texts], texts) if t != a]
-            cut = iter(model.segment(fresh))
-            ids = []
-            for text in texts:
-                if text != known:
-                    known, its_ids = text, np.asarray(next(cut), dtype="<u4").tobytes()
-                ids.append(its_ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.binary())],
-                names=["block", "number", "ids"],
-            )
-
-    met = chunks.select("block", "number", "chunk").repartition("chunk")
-    return met.sortWithinPartitions("chunk").mapInArrow(run, "block bigint, number int, ids binary")
+            counts, ids = [], []
+            for row in batch.select(["bucket", "ends", "chunks"]).to_pylist():
+                if row["bucket"] != bucket:
+                    bucket, known = row["bucket"], {}
+                raw = zstandard.decompress(row["chunks"])
+                ends = np.cumsum(unpack(row["ends"]), dtype=np.int64).tolist()
+                chunks = [raw[a:b] for a, b in zip([0, *ends], ends)]
+                fresh = [chunk for chunk in chunks if chunk not in known]
+                known.update(zip(fresh, model.segment([chunk.decode() for chunk in fresh])))
+                found = [known[chunk] for chunk in chunks]
+                counts.append(pack([*map(len, found)]))
+                ids.append(pack(np.fromiter((i for own in found for i in own), dtype=np.uint32)))
+            out = [batch.column("block"), batch.column("places")]
+            out += [pa.array(counts, pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["block", "places", "counts", "ids"])
+
+    met = lists.repartition(min(buckets, shuffle_partitions(lists.sparkSession)), "bucket")
+    return met.sortWithinPartitions("bucket").mapInArrow(
+        run, "block binary, places binary, counts binary, ids binary"
+    )
 
 
 def encode(
@@ -176,41 +239,50 @@ def encode(
     doc_id: str = "doc_id",
     text: str = "text",
     block_chars: int = BLOCK_CHARS,
+    bucket_chars: int = BUCKET_CHARS,
+    decoded: bool = False,
 ) -> DataFrame:
-    """``doc_id, ids`` of every whole text: 32-bit little-endian ids between begin and end ids."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    blocks = materialize(_in_numbers(docs, model_file, block_chars))
-    lists = blocks.where("chunks is not null").select(
-        "block", F.posexplode("chunks").alias("number", "chunk")
-    )
-    texts = blocks.where("numbers is not null").select("block", "doc_id", "numbers", "wide")
+    """``doc_id, ids`` of every whole text: 32-bit little-endian ids between begin and end ids.
 
+    With ``decoded``, also what ``decode`` gives, in the same pass.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    buckets = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars
+    segmented = _segmented(_lists(docs, model_file, block_chars, buckets), model_file, buckets)
     held: list[Model] = []  # loaded once a task
 
     def run(texts: pa.Table, chunks: pa.Table) -> pa.Table:
         if not held:
             held.append(Model(model_file))
-        order = np.argsort(chunks.column("number").to_numpy())
-        ids = chunks.column("ids").to_pylist()
-        ids = [ids[i] for i in order]
-        ends = np.cumsum([0, *map(len, ids)]) // 4
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
         begin, end = held[0].around
+        rows = chunks.to_pylist()
+        places = [np.cumsum(unpack(r["places"]), dtype=np.int64) for r in rows]
+        if [len(texts), sum(map(len, places))] != [1, *texts.column("n_chunks").to_pylist()]:
+            raise RuntimeError("docs gave other rows when read again; write them to a table first")
+        order = np.argsort(np.concatenate([*places, []])).astype(np.int64)
+        none = [np.empty(0, np.uint32)]
+        lengths = np.concatenate(none + [unpack(r["counts"]) for r in rows]).astype(np.int64)
+        flat = np.concatenate(none + [unpack(r["ids"]) for r in rows])
+        starts = (np.cumsum(lengths) - lengths)[order]
+        lengths = lengths[order]
+        counts = unpack(texts.column("counts")[0].as_py()).astype(np.int64)
+        numbers = np.split(unpack(texts.column("numbers")[0].as_py()), np.cumsum(counts)[:-1])
         out = []
-        rows = zip(texts.column("numbers").to_pylist(), texts.column("wide").to_pylist())
-        for numbers, wide in rows:
-            numbers = np.frombuffer(numbers, dtype="<u4" if wide else "<u2")
-            first, length = ends[numbers], ends[1:][numbers] - ends[numbers]
-            total = int(length.sum())
-            place = np.arange(total) + np.repeat(first - (np.cumsum(length) - length), length)
+        for own in numbers:
+            first, length = starts[own], lengths[own]
+            place = np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
             out.append(np.concatenate([[begin], flat[place], [end]]).astype("<u4").tobytes())
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(out, pa.binary())})
+        found = {"doc_id": texts.column("doc_ids").combine_chunks().flatten(), "ids": pa.array(out, pa.binary())}
+        if decoded:
+            found["decoded"] = pa.array(map(held[0].text, out), pa.string())
+        return pa.table(found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (
-        texts.groupBy("block")
-        .cogroup(_segmented(lists, model_file).groupBy("block"))
-        .applyInArrow(run, f"doc_id {kind}, ids binary")
+        _numbers(docs, model_file, block_chars)
+        .groupBy("block")
+        .cogroup(segmented.groupBy("block"))
+        .applyInArrow(run, f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
     )
 
 
@@ -221,12 +293,9 @@ def decode(coded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
     rows = coded.select(*[f"`{c}`" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Model(model_file).library
+        model = Model(model_file)
         for batch in batches:
-            texts = [
-                None if raw is None else library.decode(np.frombuffer(raw, dtype="<u4").tolist())
-                for raw in batch.column(at).to_pylist()
-            ]
+            texts = [None if raw is None else model.text(raw) for raw in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], names=[*names, "decoded"]
             )

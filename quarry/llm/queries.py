@@ -124,9 +124,8 @@ def piece_model() -> str:
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    model = model or piece_model()
-    coded = pieces.encode(table(spark, sf_dir, "documents"), model)
-    return pieces.decode(coded, model).select(
+    coded = pieces.encode(table(spark, sf_dir, "documents"), model or piece_model(), decoded=True)
+    return coded.select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
