@@ -3,26 +3,33 @@
 ``page_lines`` reads a page into lines, one a block element, and tells from the
 markup whether a line belongs to the article (inside an article or main
 element), to the page's frame (menus, headers, footers, sidebars, notices,
-adverts, forms, comments), or whether the markup doesn't say.  ``shared_lines``
-pairs every page with the page of the same host whose URL path is nearest,
-aligns all their lines by longest common subsequence, and marks those that both
-have: a template's lines, which are deleted.  Then the markup is asked: a frame's
-line goes though the other page hasn't got it, and a line that the markup places
-in the article stays though the other page has it, as articles do quote each
-other.  A page without another to compare with is left to its markup
-(``text_lines``).
+adverts, forms, comments), or whether the markup doesn't say, or leaves it in
+doubt: in an article, a class such as ``notice`` or ``banner-image``.  Each page is
+read once.  ``shared_lines`` pairs every page with the page of the same host whose
+URL path is nearest, aligns all their lines by longest common subsequence, and
+marks those that both have: a template's lines, which are deleted.  Then the
+markup is asked: a frame's line goes though the other page hasn't got it, and a
+line that the markup places in the article without a doubt stays though the other
+page has it, as articles do quote each other.  A page without another to compare
+with is left to its markup (``text_lines``).
+
+An article or main element in a wrapper that only a class word or a form makes a
+frame is no frame's, but for sidebars, comments and adverts; a form around most of
+a page's text is none either.
 
 Pages of one host with the same lines are one in pairing, or they would delete
 each other; all get what their one page gets.
 
 Pairing sorts hosts, paths and line hashes, not pages, by range, so a host that
 holds a third of all pages is dealt over many tasks.  Only pages with lines that
-the markup doesn't settle get rows back.
+the markup doesn't settle meet the difference again.
 
 Defined results: a null page counts as empty and gives an empty text, as does a
 page without an article; a null URL is a host of its own kind and the empty
 path; repeated rows are treated alike; a page alone on its host loses no
-line; an empty table gives no rows.  Other columns aren't read.
+line; elements may be unclosed (``p``, list items, cells and rows end where HTML ends
+them), nested to any depth and pages of any length; an empty table gives no rows.
+Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -52,7 +59,7 @@ INLINE = {
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "input",
 }
 FRAME = {
-    "head", "nav", "footer", "aside", "form", "button", "select", "noscript", "svg", "menu",
+    "head", "nav", "footer", "aside", "button", "select", "noscript", "svg", "menu",
     "dialog", "object", "canvas", "audio", "video",
 }
 # Words of class, id and role that mark a frame's elements, and
@@ -70,6 +77,31 @@ ARTICLE_CLASSES = {
     "post-content", "story-body", "articlebody", "main-content",
 }
 COMMENT_CLASSES = {"comment", "comments", "reply", "ad", "advert", "promo", "sponsored"}
+# Frame words that hold for an article inside as well; those that
+# in an article leave it in doubt; and words of a class name that undo the others.
+STICKY_WORDS = {
+    "sidebar", "complementary", "aside", "comment", "comments", "disqus", "replies", "respond", "ad",
+    "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
+}
+DOUBTFUL_WORDS = {
+    "notice", "notices", "alert", "banner", "search", "form", "login", "signup", "popup", "modal",
+    "share", "social", "promotion", "masthead", "topbar", "subscribe",
+}
+UNDOING_WORDS = {"no", "not", "with", "without", "has", "layout"}
+# Which open elements a start tag ends, up to which around them.
+_BLOCKS = (
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul"
+).split()
+ENDS = {
+    **{name: ({"p"}, {"button", "table", "td", "th", "li", "object"}) for name in _BLOCKS},
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+}
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
@@ -80,27 +112,43 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[\s_\-]+")
 
-ARTICLE, MAIN, UNKNOWN, FRAMED = 2, 1, 0, -1
+# What the markup says of a line.  FORMED: it stands in a form.
+ARTICLE, DOUBT, MAIN, UNKNOWN, FRAMED, FORMED = 3, 2, 1, 0, -1, -2
+# How an element is a frame: by a form, a class word, one that holds for articles
+# inside, or by its name.
+OPEN, FORM, WEAK, STICKY, HARD = range(5)
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
-    """Whether the element belongs to the frame, and whether it opens the article."""
+def _kind(tag: str, attributes: str, around: int) -> tuple[int, int]:
+    """How the element is a frame, and what it says of its lines."""
+    inside = around > UNKNOWN
     if tag in FRAME or (tag == "header" and not inside):
-        return True, UNKNOWN
+        return HARD, UNKNOWN
     names = {k.lower(): v.strip("\"'").lower() for k, v in _NAMES.findall(attributes)}
     classes = set(names.get("class", "").split()) | set(names.get("id", "").split())
     if tag == "article":
-        return bool(classes & COMMENT_CLASSES), ARTICLE
+        return STICKY if classes & COMMENT_CLASSES else OPEN, ARTICLE
     if tag == "main" or names.get("role") == "main":
-        return False, MAIN
+        return OPEN, MAIN
     if tag in ("html", "body"):
-        return False, UNKNOWN
+        return OPEN, UNKNOWN
     if classes & ARTICLE_CLASSES or names.get("itemprop") == "articlebody":
-        return False, ARTICLE
-    words = {w for v in (*classes, names.get("role", "")) for w in _WORD.split(v)}
+        return OPEN, ARTICLE
+    words = set()
+    for name in (*classes, names.get("role", "")):
+        parts = set(_WORD.split(name))
+        if not parts & UNDOING_WORDS:
+            words |= parts
+    words &= FRAME_WORDS
     if inside:  # in an article, a header is its own
         words.discard("header")
-    return bool(words & FRAME_WORDS), UNKNOWN
+    if words & STICKY_WORDS:
+        return STICKY, UNKNOWN
+    if inside and words:
+        return (OPEN, DOUBT) if words <= DOUBTFUL_WORDS else (WEAK, UNKNOWN)
+    if tag == "form":
+        return FORM, UNKNOWN
+    return WEAK if words else OPEN, UNKNOWN
 
 
 def page_lines(page: str) -> tuple[list[str], list[int]]:
@@ -109,11 +157,20 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
     kinds: list[int] = []
     buffer: list[str] = []
     aside: list[str] = []  # the frame's text
-    stack: list[tuple[str, bool, int]] = []  # element, in the frame, article or main around
-    framed, around, at, end = False, UNKNOWN, 0, len(page)
+    stack: list[tuple[str, int, int]] = []  # element, its frame, what holds around
+    opened: dict[str, int] = defaultdict(int)
+    level, around, aside_kind, at, end = OPEN, UNKNOWN, FRAMED, 0, len(page)
+
+    def put(text: str) -> None:
+        nonlocal aside_kind
+        if level == OPEN:
+            buffer.append(text)
+        else:
+            aside.append(text)
+            aside_kind = FORMED if level == FORM else FRAMED
 
     def flush() -> None:
-        for held, kind in ((buffer, around), (aside, FRAMED)):
+        for held, kind in ((buffer, around), (aside, aside_kind)):
             if held:
                 line = " ".join("".join(held).split())
                 if line:
@@ -121,56 +178,97 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                     kinds.append(kind)
                 held.clear()
 
+    def close(first: int) -> None:
+        nonlocal level, around
+        for name, _, _ in stack[first:]:
+            opened[name] -= 1
+        del stack[first:]
+        level, around = stack[-1][1:] if stack else (OPEN, UNKNOWN)
+
     while at < end:
         start = page.find("<", at)
         if start < 0:
             start = end
         if start > at:
-            (aside if framed else buffer).append(html.unescape(page[at:start]))
+            put(html.unescape(page[at:start]))
         if start == end:
             break
         found = _TAG.match(page, start) or _LOOSE.match(page, start)
         if found is None:
-            (aside if framed else buffer).append("<")
+            put("<")
             at = start + 1
             continue
         at = found.end()
         name = found[2]
         if name is None:
             if page.startswith("<![CDATA[", start):
-                (aside if framed else buffer).append(page[start + 9 : at - 3])
+                put(page[start + 9 : at - 3])
             continue
         name = name.lower()
         if name not in INLINE and name not in RAW:
             if name == "br":
-                (aside if framed else buffer).append(" ")
+                put(" ")
             else:
                 flush()
         if found[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name in INLINE and any(s[0] not in INLINE for s in stack[i + 1 :]):
+            if opened[name] > 0:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        flush() if name not in INLINE else None
+                        close(i)
+                        break
+                    if name in INLINE and stack[i][0] not in INLINE:
                         break  # misnested: an inline end doesn't close blocks
-                    flush() if name not in INLINE else None
-                    del stack[i:]
-                    framed, around = stack[-1][1:] if stack else (False, UNKNOWN)
+            continue
+        if name in ENDS and any(opened[e] > 0 for e in ENDS[name][0]):
+            ended, bounds = ENDS[name]
+            first = None
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in ended:
+                    first = i
+                    if not any(opened[e] > (e == stack[i][0]) for e in ended):
+                        break
+                elif stack[i][0] in bounds or (ended == {"p"} and stack[i][0] not in INLINE):
                     break
-        elif name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if first is not None:
+                close(first)
+        if name in RAW:
+            found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = found.end() if found else end
         elif name not in VOID and not found[3].endswith("/"):
-            frame, article = (False, UNKNOWN) if framed else _kind(name, found[3], around > 0)
-            framed, around = framed or frame, max(around, article)
-            stack.append((name, framed, around))
+            if level != HARD:
+                frame, says = _kind(name, found[3], around)
+                if level and says in (ARTICLE, MAIN) and frame == OPEN:
+                    inner = name == "article" or name == "main" or says == MAIN
+                    if inner and (level < STICKY or says == MAIN):
+                        level = OPEN
+                level = max(level, frame)
+                around = DOUBT if DOUBT in (says, around) else max(around, says)
+            opened[name] += 1
+            stack.append((name, level, around))
     flush()
-    return lines, kinds
+    # A form around most of the page's text is no frame.
+    formed = sum(len(x) for x, k in zip(lines, kinds) if k == FORMED)
+    other = sum(len(x) for x, k in zip(lines, kinds) if k >= UNKNOWN)
+    return lines, [k if k != FORMED else UNKNOWN if formed > other else FRAMED for k in kinds]
+
+
+def kept_lines(
+    lines: Sequence[str], kinds: Sequence[int], alone: bool | None, shared: Sequence[int] | None
+) -> list[int]:
+    """Places of the lines that stay: the markup's alone if there is no other page, or else
+    those that are neither the frame's nor, where it doesn't say, shared."""
+    if alone:
+        least = MAIN if max(kinds, default=UNKNOWN) > UNKNOWN else UNKNOWN
+        return [i for i, k in enumerate(kinds) if k >= least]
+    gone = {i for i in shared or () if kinds[i] in (UNKNOWN, DOUBT)}
+    return [i for i, k in enumerate(kinds) if k != FRAMED and i not in gone]
 
 
 def text_lines(page: str) -> tuple[list[str], list[int]]:
     """The lines that the markup alone keeps: the article's, or all but the frame's."""
     lines, kinds = page_lines(page)
-    least = MAIN if max(kinds, default=UNKNOWN) > UNKNOWN else UNKNOWN
-    kept = [i for i, k in enumerate(kinds) if k >= least]
+    kept = kept_lines(lines, kinds, True, None)
     return [lines[i] for i in kept], [kinds[i] for i in kept]
 
 
@@ -211,29 +309,25 @@ def _line_hash(line: str) -> int:
 
 
 def shared_lines(pages: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
-    """``page_id, url, body, unknown, marked, alone, shared`` of every page.
+    """``page_id, url, texts, kinds, alone, shared`` of every page.
 
-    ``shared`` holds places in ``page_lines``; ``body`` is the page's hash.
-    ``alone``: no other page of the host.  ``unknown``, ``marked``: some line is
-    of a kind that the markup doesn't say, or in the article.
+    ``texts`` and ``kinds`` are ``page_lines``; ``shared`` holds places in them.
+    ``alone``: no other page of the host.  Both are null on pages where they decide
+    nothing: each line is the frame's, or the article's without a doubt.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, unknown, marked = [], [], []
-            for value in batch.column(4):
-                lines, kinds = page_lines(value.as_py() or "")
-                hashes.append([_line_hash(x) for x in lines])
-                unknown.append(UNKNOWN in kinds)
-                marked.append(max(kinds, default=UNKNOWN) > UNKNOWN)
+            read = [page_lines(value.as_py() or "") for value in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(i) for i in range(4)],
-                    pa.array(hashes, pa.list_(pa.int64())),
-                    pa.array(unknown, pa.bool_()),
-                    pa.array(marked, pa.bool_()),
+                    *[batch.column(i) for i in range(3)],
+                    pa.array([[*map(_line_hash, lines)] for lines, _ in read], pa.list_(pa.int64())),
+                    pa.array([lines for lines, _ in read], pa.list_(pa.string())),
+                    pa.array([kinds for _, kinds in read], pa.list_(pa.int8())),
+                    pa.array([UNKNOWN in kinds or DOUBT in kinds for _, kinds in read], pa.bool_()),
                 ],
-                names=["page_id", "url", "path", "body", "lines", "unknown", "marked"],
+                names=["page_id", "url", "path", "lines", "texts", "kinds", "open"],
             )
 
     address = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.\-]*://([^?#]*)", 1)
@@ -245,13 +339,12 @@ def shared_lines(pages: DataFrame, page_id: str, url: str, page: str) -> DataFra
             F.col(page_id).alias("page_id"),
             F.col(url).alias("url"),
             address.alias("path"),
-            F.xxhash64(F.col(page)).alias("body"),
             F.col(page).alias("page"),
         )
         .mapInArrow(
             hashed,
-            f"page_id {kind}, url string, path string, body bigint, lines array<bigint>, "
-            "unknown boolean, marked boolean",
+            f"page_id {kind}, url string, path string, lines array<bigint>, texts array<string>, "
+            "kinds array<tinyint>, open boolean",
         )
         .withColumns({
             "host": F.substring_index("path", "/", 1),
@@ -311,8 +404,11 @@ def shared_lines(pages: DataFrame, page_id: str, url: str, page: str) -> DataFra
     differed = materialize(
         paired.mapInArrow(differ, "host string, h1 bigint, h2 bigint, alone boolean, shared array<int>")
     )
-    return described.join(differed, same).select(
-        "page_id", "url", "body", "unknown", "marked", "alone", "shared"
+    kept = ["page_id", "url", "texts", "kinds"]
+    nothing = [F.lit(None).cast("boolean").alias("alone"), F.lit(None).cast("array<int>").alias("shared")]
+    met = described.where("open").select(*same, *kept).join(differed, same)
+    return met.select(*kept, "alone", "shared").unionByName(
+        described.where("NOT open").select(*kept, *nothing)
     )
 
 
@@ -336,43 +432,18 @@ def main_text(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html"
 ) -> DataFrame:
     """``page_id, url, text`` of every row of ``pages``."""
-    kind = pages.schema[page_id].dataType.simpleString()
-    pages = pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("page")
-    )
-    settled = F.when(F.col("alone"), ~F.col("marked")).otherwise(F.size("shared") == 0)
-    found = shared_lines(pages, "page_id", "url", "page").where(F.col("unknown") & ~settled)
-    found = materialize(
-        found.groupBy(F.col("page_id").alias("__id"), F.col("url").alias("__url"), "body").agg(
-            F.any_value("alone").alias("alone"), F.any_value("shared").alias("shared")
-        )
-    )
-    both = pages.join(
-        found,
-        F.col("page_id").eqNullSafe(F.col("__id"))
-        & F.col("url").eqNullSafe(F.col("__url"))
-        & (F.xxhash64("page") == F.col("body")),
-        "left",
-    ).select("page_id", "url", "page", "alone", "shared")
+    found = shared_lines(pages, page_id, url, page)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for value, alone, shared in zip(*(batch.column(i) for i in (2, 3, 4)), strict=True):
-                whole = value.as_py() or ""
-                if alone.as_py():
-                    texts.append(" ".join(text_lines(whole)[0]))
-                    continue
-                lines, kinds = page_lines(whole)
-                gone = {i for i in shared.as_py() or () if kinds[i] == UNKNOWN}
-                texts.append(
-                    " ".join(
-                        x for i, x in enumerate(lines) if kinds[i] != FRAMED and i not in gone
-                    )
-                )
+            for r in batch.select(["texts", "kinds", "alone", "shared"]).to_pylist():
+                kept = kept_lines(r["texts"], r["kinds"], r["alone"], r["shared"])
+                texts.append(" ".join(r["texts"][i] for i in kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                 names=["page_id", "url", "text"],
             )
 
-    return both.mapInArrow(run, f"page_id {kind}, url string, text string")
+    kind = pages.schema[page_id].dataType.simpleString()
+    return found.mapInArrow(run, f"page_id {kind}, url string, text string")
