@@ -5,10 +5,12 @@ paragraphs: a block ends where more words follow without a licensing word than
 in any template.  Each is compressed alone and with every template as a raw
 zstandard dictionary; the templates are ranked by how much smaller that makes
 the block.  In this order they are confirmed by aligning words: a template wins
-when its marking words (name and version) are all there and the words missing
-and added within its span are at most ``TOLERANCE`` of it.  What the winner
-covers is cut out, and the rest of the block is ranked again, so a block can
-hold several notices.  ``reduction`` is the winner's, on what it covers.
+when its marking words (name and version) are all there, the phrases that tell
+licences apart (``TELLING``) are there just if it has them, no negation stands before
+or within, and the words missing and added within its span are at most
+``TOLERANCE`` of it.  What the winner covers is cut out, and the rest of the block is
+ranked again, so a block can hold several notices.  ``reduction`` is the winner's,
+on what it covers.
 
 A licence's title, its text and its SPDX line are notices of their own.  In an
 SPDX expression each licence that has a template is one.
@@ -24,6 +26,7 @@ its own; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import islice
@@ -98,7 +101,60 @@ TEMPLATES = (
      "disclaimer in the documentation and/or other materials provided with the distribution. Neither "
      "the name of the copyright holder nor the names of its contributors may be used to endorse or "
      "promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", ("redistribution", "binary", "advertising", "acknowledgement"),
+     "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met: Redistributions of source code must retain the "
+     "above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
+     "binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution. All "
+     "advertising materials mentioning features or use of this software must display the following "
+     "acknowledgement: This product includes software developed by the copyright holder. Neither the "
+     "name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission."),
+    ("GPL-3.0", ("general", "public", "3"),
+     "This program is free software: you can redistribute it and/or modify it under the terms of the "
+     "GNU General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("GPL-2.0", ("general", "public", "2"),
+     "This program is free software; you can redistribute it and/or modify it under the terms of the "
+     "GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("AGPL-3.0", ("affero", "3"),
+     "This program is free software: you can redistribute it and/or modify it under the terms of the "
+     "GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+     "of the License, or (at your option) any later version."),
+    ("AGPL-3.0", ("affero", "3"),
+     "This program is free software: you can redistribute it and/or modify it under the terms of the "
+     "GNU Affero General Public License as published by the Free Software Foundation, version 3."),
+    ("LGPL-3.0", ("lesser", "3"),
+     "This library is free software: you can redistribute it and/or modify it under the terms of the "
+     "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 "
+     "of the License, or (at your option) any later version."),
+    ("LGPL-2.0", ("library", "2"),
+     "This library is free software; you can redistribute it and/or modify it under the terms of the "
+     "GNU Library General Public License as published by the Free Software Foundation; either version 2 "
+     "of the License, or (at your option) any later version."),
+    ("MPL-1.1", ("mozilla", "1.1"),
+     "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); "
+     "you may not use this file except in compliance with the License. You may obtain a copy of the "
+     "License at"),
+    ("EPL-1.0", ("eclipse", "v1.0"),
+     "This program and the accompanying materials are made available under the terms of the Eclipse "
+     "Public License v1.0 which accompanies this distribution."),
+    ("EPL-2.0", ("eclipse", "2.0"),
+     "This program and the accompanying materials are made available under the terms of the Eclipse "
+     "Public License 2.0 which is available at"),
+    ("EPL-2.0", ("eclipse", "v2.0"),
+     "This program and the accompanying materials are made available under the terms of the Eclipse "
+     "Public License v2.0 which accompanies this distribution."),
 )
+# Phrases that tell licences of one wording apart, words that negate.
+TELLING = (
+    "affero general", "lesser general", "library general", "general public", "mozilla public",
+    "eclipse public", "advertising materials",
+)
+NEGATIONS = {"not", "never", "no", "isn't", "aren't", "wasn't", "cannot", "unlike", "nor"}
+# Words after a span in which a telling phrase counts as its own, and before it
+# in which a negation does.
+AFTERWARDS, BEFOREHAND = 12, 4
 # Each licence's SPDX identifiers.
 SPDX = {
     "MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",),
@@ -108,6 +164,10 @@ SPDX = {
     "MPL-2.0": ("MPL-2.0",), "BSD-2-Clause": ("BSD-2-Clause",), "BSD-3-Clause": ("BSD-3-Clause",),
     "ISC": ("ISC",), "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
     "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC0-1.0": ("CC0-1.0",), "Unlicense": ("Unlicense",),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "LGPL-2.0": ("LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later"),
+    "BSD-4-Clause": ("BSD-4-Clause",), "MPL-1.1": ("MPL-1.1",), "EPL-1.0": ("EPL-1.0",),
 }
 TAG = "spdx-license-identifier"
 TEMPLATES += tuple(
@@ -115,7 +175,9 @@ TEMPLATES += tuple(
 )
 
 CUE = re.compile(
-    r"licen[cs]|copyright|spdx|permission|redistribut|public[\W_]{1,40}domain|warrant", re.I
+    r"licen[cs]|copyright|spdx|permission|redistribut|public[\W_]{1,40}domain|warrant"
+    r"|advertising[\W_]{1,40}materials|endorse[\W_]{1,40}or",
+    re.I,
 )
 # Bytes that a template must save for it to be aligned.
 LEAST_SAVED = 6
@@ -169,8 +231,6 @@ def _reach() -> tuple[int, int, int]:
 
 
 BEFORE, AFTER, BETWEEN = _reach()
-# Characters that are searched for the words before a cue.
-BACK = 64 * BEFORE
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -187,7 +247,7 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
                 end = cue.end()
                 continue
             yield ended()
-        before = list(_WORD.finditer(text, max(0, cue.start() - BACK), cue.start()))[-BEFORE:]
+        before = deque(_WORD.finditer(text, end or 0, cue.start()), BEFORE)
         start, end = (before[0].start() if before else cue.start()), cue.end()
     if start is not None:
         yield ended()
@@ -218,6 +278,25 @@ def differences(words: list[str], template: tuple[str, ...]) -> tuple[int, int,
     return first, last, missing, last - first - len(same)
 
 
+def _phrases(words) -> set[str]:
+    joined = f" {' '.join(words)} "
+    return {p for p in TELLING if f" {p} " in joined}
+
+
+def _other(text: str, words: list[tuple[str, int, int]], first: int, last: int, template) -> bool:
+    """Whether words ``first`` to ``last`` say another licence than the template, or none."""
+    bare = [w for w, _, _ in words[first : last + AFTERWARDS]]
+    own = _phrases(template)
+    if _phrases(bare[: last - first]) - own or own - _phrases(bare):
+        return True
+    if "advertising materials" in _phrases(bare) - own:
+        return True
+    for w, _, end in words[max(0, first - BEFOREHAND) : first]:
+        if w in NEGATIONS and not re.search(r"[.!?;:]\s", text[end : words[first][1]]):
+            return True
+    return sum(w in NEGATIONS for w in bare[: last - first]) > sum(w in NEGATIONS for w in template)
+
+
 def notices(text: str, made=None) -> list[dict]:
     """Confirmed notices of a text, in order of place; ``made``: what ``compressors`` gives."""
     plain, templates = made or compressors()
@@ -240,6 +319,8 @@ def notices(text: str, made=None) -> list[dict]:
             first, last, missing, added = differences(bare, template)
             if set(marks) & set(missing) or len(missing) + added > TOLERANCE * len(template):
                 continue
+            if _other(text, words, first, last, template):
+                continue
             covered = " ".join(bare[first:last]).encode()
             reduction = 1 - len(templates[-i][3].compress(covered)) / len(plain.compress(covered))
             out.append({

@@ -1,0 +1,97 @@
+"""Licences that a word tells apart, negations, and notices far behind their line's start."""
+
+import pytest
+
+from quarry.llm import licenses
+from tests.llm.cases import words
+
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD_4 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by the Example Organization.
+4. Neither the name of the Example Organization nor the
+   names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission."""
+GPL = """This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}
+Public License as published by the Free Software Foundation; {version}"""
+LATER = "either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (AGPL, ["AGPL-3.0"]),
+        (GPL.format(what="library", kind="Lesser General", version=LATER.format("2.1")), ["LGPL-2.1"]),
+        (GPL.format(what="library", kind="Lesser General", version=LATER.format("3")), ["LGPL-3.0"]),
+        (GPL.format(what="program", kind="Lesser General", version=LATER.format("3")), ["LGPL-3.0"]),
+        (GPL.format(what="library", kind="Library General", version=LATER.format("2")), ["LGPL-2.0"]),
+        (GPL.format(what="library", kind="General", version=LATER.format("2")), ["GPL-2.0"]),
+        (GPL.format(what="program", kind="General", version=LATER.format("3")), ["GPL-3.0"]),
+        (GPL.format(what="program", kind="General", version="version 3."), ["GPL-3.0"]),
+        (GPL.format(what="program", kind="General", version="version 2 of the License."), ["GPL-2.0"]),
+        (GPL.format(what="program", kind="General", version="version 2 of the License only."), ["GPL-2.0"]),
+        (GPL.format(what="program", kind="Affero General", version="version 3."), ["AGPL-3.0"]),
+        (BSD_4, ["BSD-4-Clause"]),
+        ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may "
+         "not use this file except in compliance with the License. You may obtain a copy of the License at "
+         "http://www.mozilla.org/MPL/", ["MPL-1.1"]),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public "
+         "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ["EPL-2.0"]),
+        ("All rights reserved. This program and the accompanying materials are made available under the terms of the "
+         "Eclipse Public License v1.0 which accompanies this distribution, and is available at", ["EPL-1.0"]),
+        ("This is not released under the MIT License.", []), ("This work is not licensed under CC BY 4.0.", []),
+        ("It isn't distributed under the MIT License", []), ("It is not. Released under the MIT License.", ["MIT"]),
+        ("// SPDX-License-Identifier: AGPL-3.0-or-later", ["AGPL-3.0"]), ("SPDX-License-Identifier: LGPL-3.0-only", ["LGPL-3.0"]),
+    ],
+)
+def test_licences_of_one_wording(text, want):
+    for t in (text, f"{words(1, 80)}. {text} {words(2, 80)}"):
+        assert [n["license"] for n in licenses.notices(t)] == want
+
+
+def test_comment_art_between_words_of_a_notice():
+    for gap in (" " * 20_000, "\n" + "*" * 30_000 + "\n", "\n// " * 9_000):
+        text = licenses.TEMPLATES[2][2].replace(" ", gap, 2)
+        [found] = licenses.notices(f"int x; {text}")
+        assert found["license"] == "MIT" and found["words_missing"] == 0 and found["words_added"] == 0
+        assert found["start"] == len("int x; ")
+
+
+def brute(text):
+    """The template that needs the fewest changes, over all spans of its words' number."""
+    bare = [w for w, _, _ in licenses.words_of(text)]
+    best = []
+    for name, marks, template in licenses.TEMPLATES:
+        own = [w for w, _, _ in licenses.words_of(template)]
+        for at in range(len(bare) - len(own) + 1):
+            span = bare[at : at + len(own)]
+            if set(marks) <= set(span):
+                best.append((sum(a != b for a, b in zip(span, own)) / len(own), -len(own), name))
+    return min(best)[2]
+
+
+@pytest.mark.parametrize("number", range(len(licenses.TEMPLATES)))
+def test_templates_with_changed_words_against_all_spans(number):
+    name, marks, template = licenses.TEMPLATES[number]
+    parts = template.split()
+    changed = 0
+    for i in range(3, len(parts), 9):
+        plain = "".join(c for c in parts[i].lower() if c.isalnum())
+        phrase = any(plain in p.split() for p in licenses.TELLING)
+        if plain not in marks and not phrase and not licenses.CUE.search(parts[i]) and "spdx" not in template.lower():
+            if changed + 1 <= licenses.TOLERANCE * len(parts) / 2:
+                parts[i] = "other"
+                changed += 1
+    text = f"{words(7, 40)} {' '.join(parts)} {words(8, 40)}"
+    found = [n["license"] for n in licenses.notices(text)]
+    assert found == [name] == [brute(text)]
