@@ -9,8 +9,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ WORD_BLOCK = 1 << 16
 
 # Folders of the tables that ``materialize`` wrote, by application.
 _written: dict[str, set[str]] = {}
+# Each thread's open ``temporary_tables``.
+_scopes = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +68,8 @@ def materialize(df: DataFrame, *sort_within: str) -> DataFrame:
     (df.sortWithinPartitions(*sort_within) if sort_within else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(out)
     out._quarry_table = path
     return out
 
@@ -83,6 +89,28 @@ def discard(*tables: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+@contextmanager
+def temporary_tables():
+    """Tables that this thread writes inside are removed at the end, but for those that
+    go through the function given."""
+    stack = _scopes.__dict__.setdefault("open", [])
+    stack.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        tables = stack.pop()
+        paths = {getattr(df, "_quarry_table", None) for df in kept}
+        discard(*[t for t in tables if t._quarry_table not in paths])
+        if stack:  # what is kept is the outer scope's
+            stack[-1] += [t for t in tables if t._quarry_table in paths]
+
+
 def discard_all(spark: SparkSession) -> int:
     """Remove all tables that this session's queries wrote; how many they were.
 

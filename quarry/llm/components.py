@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,9 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours to its smallest neighbour,
     then its smaller neighbours, until nothing changes; links never become
-    more.  Rounds are cut by tables in the shared folder.
+    more.  Rounds are cut by tables in the shared folder, and a round's tables
+    removed after the next.  The least neighbours are tables as well: a join of two
+    tables lets Spark split the links of a hub over many tasks.
     """
     now = materialize(
         links.where("a != b")
@@ -23,13 +25,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: neighbours larger than a node go to its least neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = (
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         # Small star: a node and its smaller neighbours go to the least of them.
         large = materialize(large.distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
@@ -42,6 +45,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         roots = small.select(F.col("v").alias("u")).distinct()
         deep = small.join(roots, "u", "left_semi").limit(1).count()
         split = small.groupBy("u").count().where("count > 1").limit(1).count()
+        discard(now, large, least)
         now = small
         if not deep and not split:
             break

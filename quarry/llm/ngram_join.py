@@ -9,7 +9,7 @@ longer the prefix, the more shared tokens a candidate needs.
 1. Texts of equal sets are one set, known by its hash.
 2. Reduction.  Prefixes in hash order with ``l`` in proportion to the set; a set
    that has fewer than ``l`` prefix tokens in common with any other set links
-   to none.  Tokens in a hundredth of all sets or more, which are few, are told
+   to none.  Tokens in 1 / ``COMMON`` of all sets or more, which are few, are told
    in the scan and aren't shuffled.
 3. Of the sets left, shingles that no other of them has are dropped, and the
    rest are ordered by frequency, rarest first.  A set whose rest is smaller
@@ -42,7 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import AS_IS, LOWER, materialize, mix, shingles, text_chunks
+from quarry.llm.common import (
+    AS_IS,
+    LOWER,
+    materialize,
+    mix,
+    shingles,
+    temporary_tables,
+    text_chunks,
+)
 from quarry.llm.components import connected_components
 
 WIDTH = 4
@@ -51,7 +59,7 @@ LONGEST = 4
 # The reduction's l is this part of a set; a token in 1 / COMMON of all sets is
 # common.  Sets that a task remembers so as not to send one twice.
 REDUCE = 8
-COMMON = 100
+COMMON = 250
 REMEMBERED = 1 << 20
 # Up to so many ids (8 bytes each, counted first) are sent to every task rather
 # than shuffling texts; more are joined by a shuffle, with the same result.
@@ -201,7 +209,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """``rep, n, m, l, prefix``: ``m`` shingles that others have too, rarest first in the
     adaptive prefix, and the ``l`` shared tokens that its length asks for."""
     entries = sets.select("rep", F.explode("s").alias("t"))
-    counted = entries.withColumn("f", F.count("*").over(Window.partitionBy("t"))).where("f > 1")
+    # Counted and joined back, as a table: a token of many sets is split over tasks.
+    times = materialize(entries.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"))
+    counted = entries.join(times, "t")
     rest = (
         counted.groupBy("rep")
         .agg(F.count("*").alias("m"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("e"))
@@ -290,7 +300,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     # With one set of each list: that which has most in common with others.
     pick = F.struct((F.col("m") / F.col("n")).alias("part"), "rep", "n", "m", "at")
     pivots = lists.groupBy("t").agg(F.max(pick).alias("p"), F.count("*").alias("many"))
-    pivots = pivots.where("many > 1").select("t", "p.rep", "p.n", "p.m", "p.at")
+    pivots = materialize(pivots.where("many > 1").select("t", "p.rep", "p.n", "p.m", "p.at"))
     pair = (F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
     first = (
         lists.alias("a")
@@ -337,21 +347,22 @@ def ngram_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     p = {"percent": percent, "width": width, "lower": lower, "doc_id": doc_id, "text": text}
-    rows = materialize(described(docs, doc_id, text, width, percent, lower))
-    classes = materialize(
-        rows.where("n > 0 and doc_id is not null")
-        .groupBy("k", "k2", "n")
-        .agg(F.min("doc_id").alias("rep"))
-    )
-    sets = materialize(survivors(docs, classes, rows, p))
-    found = connected_components(links(sets, percent))
-    labelled = materialize(
-        classes.join(
-            found.select("node.rep", "node.k", F.col("component.rep").alias("component")),
-            ["rep", "k"],
-            "left",
-        ).select("k", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    )
+    with temporary_tables() as keep:
+        rows = keep(materialize(described(docs, doc_id, text, width, percent, lower)))
+        classes = materialize(
+            rows.where("n > 0 and doc_id is not null")
+            .groupBy("k", "k2", "n")
+            .agg(F.min("doc_id").alias("rep"))
+        )
+        sets = materialize(survivors(docs, classes, rows, p))
+        found = connected_components(links(sets, percent))
+        labelled = keep(materialize(
+            classes.join(
+                found.select("node.rep", "node.k", F.col("component.rep").alias("component")),
+                ["rep", "k"],
+                "left",
+            ).select("k", "k2", "n", F.coalesce("component", "rep").alias("component"))
+        ))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
         rows.select("doc_id", "n", "k", "k2")

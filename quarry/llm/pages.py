@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 # HTML's elements by kind.
 RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp", "template"}
@@ -404,6 +404,7 @@ def shared_lines(pages: DataFrame, page_id: str, url: str, page: str) -> DataFra
     differed = materialize(
         paired.mapInArrow(differ, "host string, h1 bigint, h2 bigint, alone boolean, shared array<int>")
     )
+    discard(ones)
     kept = ["page_id", "url", "texts", "kinds"]
     nothing = [F.lit(None).cast("boolean").alias("alone"), F.lit(None).cast("array<int>").alias("shared")]
     met = described.where("open").select(*same, *kept).join(differed, same)

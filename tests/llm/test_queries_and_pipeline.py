@@ -18,12 +18,17 @@ COLUMNS = {
     "op7_approximate_nearest": ["query_id", "rank", "vec_id", "score"],
     "op8_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op11_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_ranked_search": ["item_id", "rank", "doc_id", "score"],
+    "op13_conversation_trie": [
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+    ],
 }
 
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = contract.queries()
-    assert sorted({n.split("_")[0] for n in names if n.startswith("op")}) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted({n.split("_")[0] for n in names if n.startswith("op")}) == sorted(f"op{i}" for i in range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
     assert set(contract.oracle_sql()) <= set(names)
 
