@@ -4,7 +4,8 @@ Each row is repeated a Poisson-distributed number of times, the mean being its
 source's target repetition rate: the source's target part of the mixture's
 bytes over the bytes that it has.  The count comes from inverting the
 distribution at a number that is a keyed hash of ``doc_id``, so it is the same
-in every run, layout and retry.  Rows are exploded by their count and dealt
+in every run, layout and retry.  A mean rate above ``RATE`` is a sum of equal rates
+that are not, each inverted at a number of its own.  Rows are exploded by their count and dealt
 out and sorted by a hash of id and copy, so that all sources are interleaved.
 
 Sources without a weight of their own (a null one too) share ``REST`` and one
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 REST = "*"
 # Fixed value: hex digits of the hash that make the uniform number, 52 bits.
 HASH_DIGITS = 13
+# The largest mean of one draw.
+RATE = 500.0
 
 
 def poisson_cdf(rate: float) -> list[float]:
@@ -74,10 +77,22 @@ def rates(
 
 def uniform(key: F.Column, seed: int) -> F.Column:
     """A number in [0, 1) of 52 bits, from a keyed hash."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+    return _uniform(F.lit(f"{seed}:"), key)
+
+
+def _uniform(begin: F.Column, key: F.Column) -> F.Column:
+    digest = F.sha2(F.concat(begin, F.coalesce(key.cast("string"), F.lit(""))), 256)
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+def _drawn(cdf: F.Column, seed: int, j: F.Column, key: F.Column) -> F.Column:
+    """Draw ``j`` of a row with several."""
+    u = _uniform(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":")), key)
+    return F.aggregate(
+        cdf, F.lit(0).cast("bigint"), lambda n, c: n + F.when(c <= u, F.lit(1)).otherwise(F.lit(0))
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Mapping[str, float],
@@ -94,8 +109,15 @@ def mix_sources(
     repeats = F.lit(0)
     group = _group(weights, source)
     for name, rate in sorted(by_rate.items()):
-        cdf = F.array(*[F.lit(c) for c in poisson_cdf(rate)])
-        count = F.size(F.filter(cdf, lambda c: c <= u))
+        draws = max(1, math.ceil(rate / RATE))
+        cdf = F.array(*[F.lit(c) for c in poisson_cdf(rate / draws)])
+        count = F.size(F.filter(cdf, lambda c: c <= u)).cast("bigint")
+        if draws > 1:
+            count = F.aggregate(
+                F.sequence(F.lit(1), F.lit(draws)),
+                F.lit(0).cast("bigint"),
+                lambda total, j: total + _drawn(cdf, seed, j, F.col(doc_id)),
+            )
         repeats = F.when(group == name, count).otherwise(repeats)
     counted = docs.select(*[F.col(f"`{n}`") for n in names], repeats.cast("bigint").alias("repeats"))
     copies = counted.where("repeats > 0").withColumn(
