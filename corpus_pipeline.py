@@ -8,8 +8,13 @@ replicated to target weights; token sequences are packed.  All stages but the
 last return the columns of ``documents``.
 
 Defined results: a row without a doc_id has no label and no near copies; rows of
-one doc_id are one document, of which the first by text stays; null texts count
-as empty, but stay null until they are packed; an empty table gives no rows.
+one doc_id are one document, of which the first by text stays (of two texts under
+one id the second is lost, though they be unlike); null texts count as empty, but
+stay null until they are packed; texts of any length go through whole; of near
+copies that tie in everything but doc_id the smallest stays, of rows alike in
+doc_id and text the first by source and language; columns beyond those of
+``documents``, whatever their names, go in the first stage; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing, ngram_join, packing, pii, quality
-from quarry.llm.common import materialize, table
+from quarry.llm.common import discard, materialize, table, temporary_tables
 from quarry.llm.queries import MIX_WEIGHTS, PII_KEY, labelled, ranks_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -91,5 +96,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, from the whole ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary_tables() as keep:
+            kept = keep(materialize(stage(spark, docs, sf_dir)))
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
