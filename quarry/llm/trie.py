@@ -380,6 +380,7 @@ def conversation_trie(
         F.col("conv_id").alias("parent_conv_id"),
     )
     linked = materialize(nodes.join(parents, ["depth", "q0", "q1"], "left").drop("q0", "q1", "mixed"))
+    discard(scanned, nodes)
     children = (
         linked.where("depth > 0")
         .groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth"))
