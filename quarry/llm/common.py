@@ -34,6 +34,8 @@ WORD_BLOCK = 1 << 16
 
 # Folders of the tables that ``materialize`` wrote, by application.
 _written: dict[str, set[str]] = {}
+# Temporary folders of local sessions without a shared one, by application.
+_local_dirs: dict[str, str] = {}
 # Each thread's open ``temporary_tables``.
 _scopes = threading.local()
 
@@ -46,19 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
-    Where the setting is unset (local sessions, tests), one is set to a
-    temporary folder, and reused by later calls in the session.
+    Where the setting is unset, a local session (tests) gets a temporary folder,
+    which later calls use again; any other raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.quarry.scratchDir", None
-    )
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_dirs.get(app)
     if not base:
         if not spark.sparkContext.master.startswith(("local[", "local")) or (
             spark.sparkContext.master.startswith("local-cluster")
         ):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.quarry.scratchDir", base)
+        base = _local_dirs[app] = tempfile.mkdtemp(prefix="quarry-")
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
