@@ -14,8 +14,9 @@ no training row, or labels of one kind only, every score is the labels' mean
 (0.5 without any).  Columns of the input pass through; one with the name of an
 added column is replaced.
 
-All sums over rows are sums of integers (fixed point), so that they do not
-depend on the order in which tasks end.
+Sums over partitions are sums of integers (fixed point), so they don't depend on
+the order in which tasks end.  A partition's own sums are rounded once, so rows
+dealt to other partitions can change a score's last digits.
 """
 
 from __future__ import annotations
