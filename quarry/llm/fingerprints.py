@@ -14,14 +14,15 @@ the Jaccard similarity of the shingle sets themselves.
 Defined results: a null text counts as empty; a text without words has the
 fingerprint of all ``f``, which is like itself only; a text of fewer words than
 a shingle is one shingle; equal texts have equal fingerprints, and repeated
-rows their own rows; rows without a doc_id come first in the order of
-followers, rows of one doc_id follow each other by text; an empty table gives
+rows their own rows; ``doc_id`` is a number, date or timestamp (others raise); rows
+without one come first in the order of followers, rows of one doc_id follow each other by text; an empty table gives
 no rows.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,6 +87,21 @@ def as_hex(signature: np.ndarray) -> pa.Array:
     )
 
 
+def _bounds_passed(bounds: list, kind) -> F.Column:
+    """How many of the ascending ``bounds`` ``doc_id`` has reached, by every n-th of them and
+    then the n from there; none for a null."""
+    step = max(1, math.isqrt(len(bounds)))
+
+    def reached(some: F.Column) -> F.Column:
+        return F.size(F.filter(some, lambda b: b <= F.col("doc_id")))
+
+    def listed(some: list) -> F.Column:
+        return F.array(*[F.lit(b) for b in some]).cast(f"array<{kind.simpleString()}>")
+
+    coarse = reached(listed(bounds[step - 1 :: step])) * step
+    return coarse + reached(F.slice(listed(bounds), coarse + 1, step))
+
+
 def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows in buckets by ranges of ``doc_id``, each sorted inside and followed by
     the row after its last (``extra`` 1; the first row of all after the last).
@@ -106,8 +122,7 @@ def in_order(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     bounds = sorted({b for b in found["at"] or [] if b != found["least"] or found["nulls"]})
     kind = docs.schema[doc_id].dataType
     if bounds:
-        listed = F.array(*[F.lit(b).cast(kind) for b in bounds])
-        bucket = F.size(F.filter(listed, lambda b: b <= F.col("doc_id")))
+        bucket = _bounds_passed(bounds, kind)
         after = (
             rows.where(F.col("doc_id").isin(bounds))
             .groupBy("doc_id")

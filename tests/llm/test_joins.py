@@ -92,3 +92,14 @@ def test_recall_of_bands_on_a_whole_table(spark):
     linked = [d for d, c in want.items() if list(want.values()).count(c) > 1]
     assert len(linked) > 50 and sum(got[d] == want[d] for d in linked) >= 0.9 * len(linked)
     assert all(got[d] == want[d] for d in want if d not in set(linked))
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 10, 99, 1000])
+def test_bounds_passed(spark, count):
+    import bisect
+
+    bounds = sorted({(i * 37) % 5003 for i in range(count)})
+    rows = spark.range(-3, 5010, 7).selectExpr("id as doc_id").unionByName(spark.sql("select cast(null as bigint) doc_id"))
+    kind = rows.schema["doc_id"].dataType
+    got = rows.select("doc_id", fingerprints._bounds_passed(bounds, kind).alias("n")).collect()
+    assert all(r.n == (0 if r.doc_id is None else bisect.bisect_right(bounds, r.doc_id)) for r in got)
