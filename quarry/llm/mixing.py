@@ -6,7 +6,7 @@ bytes over the bytes that it has.  The count comes from inverting the
 distribution at a number that is a keyed hash of ``doc_id``, so it is the same
 in every run, layout and retry.  A mean rate above ``RATE`` is a sum of equal rates
 that are not, each inverted at a number of its own.  Rows are exploded by their count and dealt
-out and sorted by a hash of id and copy, so that all sources are interleaved.
+out and sorted by a hash of id, copy and text, so that all sources are interleaved.
 
 Sources without a weight of their own (a null one too) share ``REST`` and one
 rate.  The rates are as many as the weights given, so they travel as literals:
@@ -123,7 +123,8 @@ def mix_sources(
     copies = counted.where("repeats > 0").withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("repeats")))
     )
-    order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"))
+    # The text as well, as many rows may lack an id or share one.
+    order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"), F.col(text))
     return (
         copies.withColumn("__order", order)
         .repartition("__order")
