@@ -30,13 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, mix, shingles, shuffle_partitions, text_chunks
+from quarry.llm.common import (
+    materialize,
+    mix,
+    shingles,
+    shuffle_partitions,
+    temporary_tables,
+    text_chunks,
+)
 
 WIDTH = 5
 PERMUTATIONS = 128
 BANDS = 32
 SIMILARITY = 0.8
 SEED = 1
+# Up to so many ids (8 bytes each, counted first) are sent to every task rather
+# than shuffling texts; more are joined by a shuffle, with the same result.
+SENT_IDS = 1 << 20
 
 # Shingles that one step permutes, so that they stay in a processor's cache.
 _STEP = 1 << 15
@@ -202,104 +212,159 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, bands, shingles``: a hash a signature band, and the distinct shingles."""
+    """``doc_id, k, k2, n, bands``: two hashes and the size of a text's set of distinct
+    shingles, and a hash a signature band (none without words)."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    salt, numbers = np.uint64(0xD6E8FEB86659FD93), np.arange(BANDS, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 hashes, counts = shingles(data, offsets, WIDTH)
                 rows = signatures(hashes, counts).astype(np.uint64).reshape(len(counts), BANDS, -1)
-                keys = np.zeros(rows.shape[:2], dtype=np.uint64)
-                for k in range(rows.shape[2]):
-                    keys = mix(keys + rows[:, :, k])
+                keys = np.tile(numbers, (len(counts), 1))
+                for j in range(rows.shape[2]):
+                    keys = mix(keys + rows[:, :, j])
                 ends = np.cumsum(counts)
-                sets = [
-                    np.unique(hashes[e - c : e]).view(np.int64) for e, c in zip(ends, counts, strict=True)
-                ]
+                sets = [np.unique(hashes[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+                k = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+                k2 = np.array([mix(s ^ salt).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                places = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
-                        pa.array([k.view(np.int64) if c else [] for k, c in zip(keys, counts, strict=True)],
-                                 pa.list_(pa.int64())),
-                        pa.array(sets, pa.list_(pa.int64())),
+                        pa.array(k.view(np.int64)),
+                        pa.array(k2.view(np.int64)),
+                        pa.array(n),
+                        pa.ListArray.from_arrays(
+                            pa.array(places), pa.array(keys[n > 0].reshape(-1).view(np.int64))
+                        ),
                     ],
-                    names=["doc_id", "bands", "shingles"],
+                    names=["doc_id", "k", "k2", "n", "bands"],
                 )
 
-    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), text)
-    return source.mapInArrow(run, f"doc_id {kind}, bands array<bigint>, shingles array<bigint>")
+    source = docs.select(F.col(doc_id).alias("doc_id"), text)
+    return source.mapInArrow(
+        run, f"doc_id {kind}, k bigint, k2 bigint, n bigint, bands array<bigint>"
+    )
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``first, shingles``: the sets of the texts that ``wanted`` names (``doc_id, k``)."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in text_chunks(batch.column(1)):
+                hashes, counts = shingles(data, offsets, WIDTH)
+                ends = np.cumsum(counts)
+                sets = [np.unique(hashes[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+                k = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+                places = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, last - first),
+                        pa.array(k.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(places), pa.array(flat)),
+                    ],
+                    names=["doc_id", "k", "shingles"],
+                )
+
+    ids = wanted.select("first.doc_id").distinct()
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    source = docs.select(F.col(doc_id).alias("doc_id"), text).join(ids, "doc_id", "left_semi")
+    found = source.mapInArrow(run, f"doc_id {kind}, k bigint, shingles array<bigint>")
+    # Other texts of a doc_id aren't wanted; rows that repeat one are one.
+    return (
+        found.select(F.struct("doc_id", "k").alias("first"), "shingles")
+        .join(wanted, "first", "left_semi")
+        .dropDuplicates(["first"])
+    )
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    every: bool = False,
 ) -> DataFrame:
     """``doc_id, class_id``: the smallest id that verified links lead to.
 
-    Rows that share a band meet the band's smallest id first, so a group of near
-    copies costs as many comparisons as it has members and bands.  Then those of a
-    band that are still in different components all meet, as far as their sizes
-    allow a link.  So no link of two rows that share a band is lost.  Rows without
-    a doc_id or without words take no part.
+    Texts of equal shingle sets are one, and only those that share a band with
+    another are read again for their sets.  They meet the band's smallest first, so
+    a group of near copies costs as many comparisons as it has members and bands.
+    Then those of a band that are still in different components all meet, as far as
+    their sizes allow a link.  So no link of two texts that share a band is lost.
+    Rows without a doc_id or without words take no part: they have no row, or with
+    ``every`` one whose class is their own doc_id.
     """
     from quarry.llm.components import connected_components
 
-    known = materialize(sketches(docs, doc_id, text))
-    # Rows of equal shingle sets are one.
-    sets = known.where(F.size("shingles") > 0).groupBy(
-        F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2")
-    )
-    firsts = materialize(sets.agg(F.min("doc_id").alias("first"), F.min_by(F.struct("bands", "shingles"), "doc_id").alias("s")))
-    banded = firsts.select("first", F.posexplode("s.bands").alias("band", "key"))
-    by_band = banded.groupBy("band", "key").agg(F.min("first").alias("least"), F.count("*").alias("n"))
-    star = banded.join(by_band.where("n > 1"), ["band", "key"]).select("first", F.col("least").alias("other"))
-    a = firsts.select("first", F.col("s.shingles").alias("x"))
-    b = firsts.select(F.col("first").alias("other"), F.col("s.shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    def alike(m, n) -> F.Column:
+        return F.least(m, n) >= F.lit(similarity) * F.greatest(m, n)
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        x = sets.select("first", F.col("shingles").alias("x"))
+        y = sets.select(F.col("first").alias("other"), F.col("shingles").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
         return materialize(
-            pairs.join(a, "first").join(b, "other")
+            pairs.join(x, "first").join(y, "other")
             .where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared))
             .select(F.col("first").alias("a"), F.col("other").alias("b"))
         )
 
-    links = verified(star.where("first != other").distinct())
-    # Then all pairs of a band that are in different components.
-    own = connected_components(links).select(F.col("node").alias("first"), "component")
-    sizes = firsts.select("first", F.size("s.shingles").alias("size"))
-    lists = materialize(
-        banded.join(by_band.where("n > 1").select("band", "key"), ["band", "key"])
-        .join(own, "first", "left")
-        .join(sizes, "first")
-        .select("band", "key", "first", "size", F.coalesce("component", "first").alias("component"))
-    )
-    mixed = lists.groupBy("band", "key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")
-    )
-    lists = materialize(
-        lists.join(mixed.where("lo != hi").select("band", "key"), ["band", "key"], "left_semi")
-    )
-    others = lists.select(
-        "band", "key", F.col("first").alias("other"), F.col("size").alias("size2"),
-        F.col("component").alias("component2"),
-    )
-    rest = (
-        lists.join(others, ["band", "key"])
-        .where(
-            (F.col("other") < F.col("first"))
-            & (F.col("component") != F.col("component2"))
-            & (F.least("size", "size2") >= F.lit(similarity) * F.greatest("size", "size2"))
+    with temporary_tables() as keep:
+        known = keep(materialize(sketches(docs, doc_id, text)))
+        firsts = materialize(
+            known.where("n > 0 and doc_id is not null")
+            .groupBy("k", "k2", "n")
+            .agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+            .select(F.struct("doc_id", "k").alias("first"), "k", "k2", "n", "bands")
         )
-        .select("first", "other")
-        .distinct()
-    )
-    label = connected_components(links.unionByName(verified(rest)))
-    members = known.where(F.size("shingles") > 0).select(
-        "doc_id", F.xxhash64("shingles").alias("h1"), F.xxhash64(F.lit(1), "shingles").alias("h2")
-    )
-    return (
-        members.join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
-        .join(label.select(F.col("node").alias("first"), "component"), "first", "left")
-        .select("doc_id", F.coalesce("component", "first").alias("class_id"))
-    )
+        banded = firsts.select("first", "n", F.explode("bands").alias("key"))
+        met = banded.groupBy("key").agg(
+            F.min(F.struct(F.col("first").alias("other"), F.col("n").alias("m"))).alias("least"),
+            F.count("*").alias("many"),
+        )
+        met = materialize(met.where("many > 1").select("key", "least.other", "least.m"))
+        lists = materialize(banded.join(met, "key"))
+        sets = materialize(
+            shingle_sets(docs, materialize(lists.select("first").distinct()), doc_id, text)
+        )
+        star = lists.where((F.col("first") != F.col("other")) & alike("n", "m"))
+        links = verified(star.select("first", "other").distinct(), sets)
+        # Then all pairs of a band that are in different components.
+        own = connected_components(links).select(F.col("node").alias("first"), "component")
+        lists = materialize(
+            lists.select("key", "first", "n")
+            .join(own, "first", "left")
+            .withColumn("component", F.coalesce("component", "first"))
+        )
+        mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = materialize(mixed.where("lo != hi").select("key"))
+        lists = materialize(lists.join(mixed, "key", "left_semi"))
+        rest = (
+            lists.alias("a")
+            .join(lists.alias("b"), "key")
+            .where(
+                (F.col("b.first") < F.col("a.first"))
+                & (F.col("a.component") != F.col("b.component"))
+                & alike("a.n", "b.n")
+            )
+            .select(F.col("a.first").alias("first"), F.col("b.first").alias("other"))
+            .distinct()
+        )
+        found = connected_components(links.unionByName(verified(rest, sets)))
+        label = keep(materialize(
+            firsts.join(found.select(F.col("node").alias("first"), "component"), "first", "left")
+            .select("k", "k2", "n", F.coalesce("component", "first")["doc_id"].alias("class_id"))
+        ))
+    taking = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    rows = known.select("doc_id", "k", "k2", "n")
+    rows = rows if every else rows.where(taking)
+    class_id = F.when(taking, F.col("class_id")).otherwise(F.col("doc_id"))
+    return rows.join(label, ["k", "k2", "n"], "left").select("doc_id", class_id.alias("class_id"))

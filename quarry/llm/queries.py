@@ -45,6 +45,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 1: classes by its signature bands, Jaccard verified."""
+    return fingerprints.near_duplicates(table(spark, sf_dir, "documents"), every=True)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     described = materialize(quality.add_statistics(docs).drop("text"))
@@ -143,6 +148,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "near_duplicates": near_duplicates,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,

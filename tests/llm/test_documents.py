@@ -197,8 +197,8 @@ def test_no_shards_of_nothing(empty):
 # -- n-gram Jaccard join --------------------------------------------------
 
 
-def brute_components(data, width, percent):
-    sets = {r[0]: shingle_set(r[1], width, lower=True) for r in data if r[0] is not None}
+def brute_components(data, width, percent, lower=True):
+    sets = {r[0]: shingle_set(r[1], width, lower=lower) for r in data if r[0] is not None}
     root = {d: d for d in sets}
 
     def find(x):

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import common, components, fingerprints, mixing, ngram_join
-from tests.llm.cases import DOCS, edited, table, words
+from quarry.llm import common, components, fingerprints, mixing, ngram_join, queries
+from tests.llm.cases import DOCS, clashing, edited, rows, table, words
 from tests.llm.test_documents import brute_components
 
 A, B = "ab" * 32_768, "cd" * 32_768  # blocks of 64 KiB
@@ -103,3 +103,30 @@ def test_bounds_passed(spark, count):
     kind = rows.schema["doc_id"].dataType
     got = rows.select("doc_id", fingerprints._bounds_passed(bounds, kind).alias("n")).collect()
     assert all(r.n == (0 if r.doc_id is None else bisect.bisect_right(bounds, r.doc_id)) for r in got)
+
+
+def test_a_class_for_every_row(spark):
+    """Nulls, texts without words, repeated rows, ids with several texts, clashing names."""
+    base, other = words(1, 120), words(7, 90)
+    data = rows() + [(900, base, None, None, None), (900, other, None, None, None), (901, edited(other, 1, 1), None, None, None)]
+    docs = clashing(table(spark, data))
+    some = sorted((r.doc_id, r.class_id) for r in fingerprints.near_duplicates(docs).collect())
+    out = fingerprints.near_duplicates(docs, every=True).collect()
+    assert len(out) == len(data)
+    blank = [d for d, t, *_ in data if d is not None and not (t or "").split()]
+    assert {r.class_id for r in out if r.doc_id is None} == {None}
+    rest = [(r.doc_id, r.class_id) for r in out if r.doc_id is not None]
+    assert sorted(rest) == sorted(some + [(d, d) for d in blank])
+    assert sorted(c for d, c in some if d == 900) == [0, 900] and (901, 900) in some
+    assert fingerprints.near_duplicates(table(spark, []), every=True).collect() == []
+
+
+def test_classes_of_the_given_documents(spark):
+    """The registered query has each row once, and loses few links of the exact classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    brute = brute_components([(r.doc_id, r.text) for r in docs.collect()], 5, 80, lower=False)
+    got = {r.doc_id: r.class_id for r in queries.near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    linked = {d for d, (_, c) in brute.items() if c != d} | {c for d, (_, c) in brute.items() if c != d}
+    assert set(got) == set(brute) and len(linked) > 50
+    assert sum(got[d] == brute[d][1] for d in linked) >= 0.9 * len(linked)
+    assert all(got[d] == d for d in brute if d not in linked)
