@@ -36,7 +36,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose score, learnt from ``labels.quality``, is at least ``KEEP_SCORE``."""
     described = materialize(quality.add_statistics(docs.select("doc_id", "text")).drop("text"))
     model = quality.fit(labelled(described, table(spark, sf_dir, "labels")))
-    scored = quality.add_score(quality.add_statistics(docs.select(*COLUMNS)), model)
+    scored = quality.score_texts(docs.select(*COLUMNS), model)
     return scored.where(F.col("score") >= KEEP_SCORE).select(*COLUMNS)
 
 

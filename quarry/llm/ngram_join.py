@@ -47,6 +47,7 @@ from quarry.llm.common import (
     LOWER,
     materialize,
     mix,
+    runs,
     shingles,
     temporary_tables,
     text_chunks,
@@ -61,6 +62,8 @@ LONGEST = 4
 REDUCE = 8
 COMMON = 250
 REMEMBERED = 1 << 20
+# Bytes of text that are hashed at a time; the arrays take about 40 times as much.
+HASHED_BYTES = 1 << 19
 # Up to so many ids (8 bytes each, counted first) are sent to every task rather
 # than shuffling texts; more are joined by a shuffle, with the same result.
 SENT_IDS = 1 << 20
@@ -75,11 +78,12 @@ def overlap(n, percent: int):
 def _sets(column, width: int, fold: np.ndarray) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Runs of rows, each with its texts' sorted distinct shingles."""
     for first, last, data, offsets in text_chunks(column):
-        hashes, counts = shingles(data, offsets, width, fold)
-        ends = np.cumsum(counts)
-        yield first, last, [
-            np.unique(hashes[e - c : e]) for e, c in zip(ends, counts, strict=True)
-        ]
+        sets = []
+        for _, _, part, own in runs(data, offsets, HASHED_BYTES):
+            hashes, counts = shingles(part, own, width, fold)
+            ends = np.cumsum(counts)
+            sets += [np.unique(hashes[e - c : e]) for e, c in zip(ends, counts, strict=True)]
+        yield first, last, sets
 
 
 def _signed(x: np.ndarray) -> pa.Array:

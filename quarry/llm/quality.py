@@ -5,7 +5,8 @@ the standardised statistics to random Fourier features, whose inner products
 approximate a Gaussian kernel, sums the normal equations of ridge regression
 per partition and over partitions in Spark, solves them on the driver (their
 size depends on ``features`` alone), and calibrates by isotonic regression on
-out-of-fold scores.  ``add_score`` applies the model.
+out-of-fold scores.  ``add_score`` applies the model to statistics, ``score_texts``
+to texts, in one Python step.
 
 Defined results: a null text counts as empty; empty texts have a score like
 any other; equal texts have equal scores.  Training rows with a null label or
@@ -122,12 +123,12 @@ def add_statistics(df: DataFrame, text: str = "text", out: str = "statistics") -
     kept = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.DoubleType()))])
     names = [f.name for f in kept]
-    source = df.select(*[_quoted(n) for n in names], _quoted(text).alias("__text"))
+    source, at = _with_text(df, names, text)
     width = len(STATISTICS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(names))
+            column = batch.column(at)
             for first, last, data, offsets in text_chunks(column, CHUNK_BYTES, CHUNK_TEXTS):
                 values = np.ascontiguousarray(_statistics(data, offsets)).ravel()
                 array = pa.ListArray.from_arrays(
@@ -143,6 +144,14 @@ def _quoted(name: str) -> F.Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _with_text(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``names`` of ``df`` and, if it isn't one of them, ``text``; its place."""
+    own = [_quoted(n) for n in names]
+    if text in names:
+        return df.select(*own), names.index(text)
+    return df.select(*own, _quoted(text).alias("__text")), len(names)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Size fixed by the number of statistics, features and bins."""
@@ -323,3 +332,26 @@ def add_score(
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=[*names, out])
 
     return source.mapInArrow(run, schema)
+
+
+def score_texts(
+    df: DataFrame, model: QualityModel, text: str = "text", out: str = "score"
+) -> DataFrame:
+    """``df`` with ``out``: the calibrated score of its whole ``text``, as ``add_score``
+    gives it for ``add_statistics``; texts go to Python and back once."""
+    kept = [f for f in df.schema.fields if f.name != out]
+    schema = T.StructType([*kept, T.StructField(out, T.DoubleType())])
+    names = [f.name for f in kept]
+    source, at = _with_text(df, names, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            for first, last, data, offsets in text_chunks(column, CHUNK_BYTES, CHUNK_TEXTS):
+                score = model.score(np.nan_to_num(_statistics(data, offsets)))
+                cols = [batch.column(i).slice(first, last - first) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array(np.clip(score, 0.0, 1.0))], names=[*names, out]
+                )
+
+    return source.mapInArrow(run, schema)

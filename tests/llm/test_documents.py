@@ -134,6 +134,23 @@ def test_quality_tells_junk_from_clean(spark, marked, docs):
     assert set(scored.columns) == set(docs.columns) - {"statistics"}
 
 
+def test_scores_of_texts_are_those_of_their_statistics(spark, marked, docs, empty):
+    model = quality.fit(quality.add_statistics(marked))
+    direct, staged = quality.score_texts(docs, model), quality.add_score(quality.add_statistics(docs), model)
+    columns = [f"`{c}`" for c in docs.columns if c not in ("statistics", "score")]
+    assert [f"`{c}`" for c in direct.columns if c not in ("statistics", "score")] == columns
+    assert direct.schema["score"] == staged.schema["score"]
+    found = lambda df, *cols: sorted(str(tuple(r)) for r in df.select(*cols).collect())
+    score = F.round("score", 6)
+    assert found(direct, *columns, score) == found(staged, *columns, score)
+    assert quality.score_texts(empty, model).count() == 0
+    # The text is itself replaced, or has another name.
+    other = docs.select("doc_id", F.col("text").alias("my `text`"))
+    again = quality.score_texts(other, model, text="my `text`", out="my `text`")
+    assert again.columns == ["doc_id", "my `text`"]
+    assert found(again, "doc_id", F.round("`my ``text```", 6)) == found(direct, "doc_id", score)
+
+
 def test_quality_without_labels_is_constant(marked, empty):
     none = quality.fit(quality.add_statistics(marked.limit(0)))
     assert none.score(__import__("numpy").zeros((2, len(quality.STATISTICS)))).tolist() == [0.5, 0.5]

@@ -25,6 +25,26 @@ def test_unlike_long_words_hash_unlike(size):
     assert counts.tolist() == [6, 1] and len(set(hashes.tolist())) == 6 and hashes[0] == hashes[6]
 
 
+def test_shingle_sets_of_a_run_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"T{i} " + words(i, 50 + i % 300) for i in range(2000)] + ["", None, words(1, 2)] * 50)
+    data, offsets = common.utf8(texts)
+    assert len(data) > 4 * ngram_join.HASHED_BYTES
+    hashes, counts = common.shingles(data, offsets, 5, common.LOWER)
+    want = np.split(hashes, np.cumsum(counts)[:-1])
+    tracemalloc.start()
+    (only,) = ngram_join._sets(texts, 5, common.LOWER)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert only[:2] == (0, len(texts)) and len(only[2]) == len(texts)
+    assert all(np.array_equal(got, np.unique(s)) for got, s in zip(only[2], want, strict=True))
+    # Hashing the run in one step took over 30 times its bytes.
+    assert peak < 20 * len(data)
+
+
 def test_documents_of_swapped_blocks_are_not_one(spark):
     data = [(1, A + B, None, None, None), (2, B + A, None, None, None), (3, A + B, None, None, None)]
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(table(spark, data)).collect()}

@@ -86,6 +86,14 @@ def test_quality_stage_keeps_clean_documents(spark, staged):
     assert after.join(labels.where("quality = 0"), "doc_id", "left_semi").count() == 0
 
 
+def test_quality_stage_sends_texts_to_python_once(spark):
+    docs = spark.read.parquet(f"{SF_SMOKE}/documents.parquet")
+    kept = corpus_pipeline.quality_classifier(spark, docs, SF_SMOKE)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(steps) == 1 and steps[0].split("[")[0].count("text") == 1
+
+
 def test_join_stage_keeps_one_of_each_group(staged):
     before, after = staged["ngram_jaccard_join"]
     data = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
